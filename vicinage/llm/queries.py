@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import pii
+from . import media, pii
 
 QUERIES = {
     "op1_pii": pii.query,
+    "op2_media": media.query,
 }
 
 SQL: dict[str, str] = {}
