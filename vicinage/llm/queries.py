@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import media, pii
+from . import jaccard, media, pii
 
 QUERIES = {
     "op1_pii": pii.query,
     "op2_media": media.query,
+    "op3_ngram_jaccard_join": jaccard.query,
 }
 
 SQL: dict[str, str] = {}
