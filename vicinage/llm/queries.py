@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import jaccard, media, pii
+from . import bpe, jaccard, media, pii
 
 QUERIES = {
     "op1_pii": pii.query,
     "op2_media": media.query,
     "op3_ngram_jaccard_join": jaccard.query,
+    "op4_byte_bpe": bpe.query,
 }
 
 SQL: dict[str, str] = {}
