@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import bpe, jaccard, media, pii
+from . import bpe, chat, jaccard, media, pii
 
 QUERIES = {
     "op1_pii": pii.query,
     "op2_media": media.query,
     "op3_ngram_jaccard_join": jaccard.query,
     "op4_byte_bpe": bpe.query,
+    "op6_chat_format": chat.query,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op6_chat_format": chat.SQL,
+}
