@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, jaccard, media, pii
+from . import bpe, chat, jaccard, media, packing, pii, token_counts
 
 QUERIES = {
     "op1_pii": pii.query,
@@ -10,6 +10,8 @@ QUERIES = {
     "op3_ngram_jaccard_join": jaccard.query,
     "op4_byte_bpe": bpe.query,
     "op6_chat_format": chat.query,
+    "op7_token_counts": token_counts.query,
+    "op9_packing": packing.query,
 }
 
 SQL: dict[str, str] = {
