@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, jaccard, media, packing, pii, token_counts
+from . import bpe, chat, hmm, jaccard, media, packing, pii, token_counts
 
 QUERIES = {
     "op1_pii": pii.query,
     "op2_media": media.query,
     "op3_ngram_jaccard_join": jaccard.query,
     "op4_byte_bpe": bpe.query,
+    "op5_hmm_lm": hmm.query,
     "op6_chat_format": chat.query,
     "op7_token_counts": token_counts.query,
     "op9_packing": packing.query,
