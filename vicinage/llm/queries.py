@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, hmm, jaccard, media, packing, pii, token_counts
+from . import bpe, chat, hmm, jaccard, media, packing, pii, quality, token_counts
 
 QUERIES = {
     "op1_pii": pii.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_hmm_lm": hmm.query,
     "op6_chat_format": chat.query,
     "op7_token_counts": token_counts.query,
+    "op8_quality": quality.query,
     "op9_packing": packing.query,
 }
 
