@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, hmm, jaccard, media, packing, pii, quality, token_counts
+from . import ann, bpe, chat, hmm, jaccard, media, packing, pii, quality, token_counts
 
 QUERIES = {
     "op1_pii": pii.query,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_token_counts": token_counts.query,
     "op8_quality": quality.query,
     "op9_packing": packing.query,
+    "op10_permutation_index": ann.query,
 }
 
 SQL: dict[str, str] = {
