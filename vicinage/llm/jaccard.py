@@ -11,8 +11,9 @@ number of shingles U, and so have much in common once the universe of shingles i
   from the exact number of sets in each band.
 * An empty subset would match too much. Spare segments make it unnecessary unless a set has more empty ones than spares;
   only such sets index them.
-* Equal sets are one class. Candidates of an index entry are compared with its smallest and its largest set; classes that
-  this leaves in different components are then compared with all others of the entry. Comparison is exact, on the texts.
+* Equal sets are one class. Candidates of an index entry are compared with its smallest and its largest set. What this leaves
+  in different components is compared with all others of the entry: by parity sketches, which bound the difference from
+  below, then what is left of the pairs like the first ones. Comparison is exact, on the texts.
 
 Cases: a null or empty text has no shingles and links with nothing; keys are taken to be unique, and a row that is there
 twice gives the same result twice; texts of any length are used whole; an empty table gives an empty table; only the key
@@ -39,8 +40,8 @@ BLOCKS = (1, 3, 4, 6, 8)
 PAIR_COST, SHARED = 20.0, 0.5
 #: Sets that must index empty subsets should be fewer than this share.
 TAIL = 0.01
-#: Members of one set's comparisons are spread over so many groups.
-SALTS = 16
+#: Members of one set's comparisons are spread over so many groups; members of an entry are compared in chunks of so many.
+SALTS, CHUNK = 16, 512
 
 
 # --- what is indexed -------------------------------------------------------------------------------------------------
@@ -206,6 +207,89 @@ def _compared(texts: DataFrame, pairs: DataFrame, width: int, percent: int) -> D
     return dealt.select("a", "b", "text").mapInArrow(run, "a long, b long")
 
 
+# --- sketches --------------------------------------------------------------------------------------------------------
+
+
+def sketch_bits(size: int, percent: int) -> int:
+    """Bits of a set's sketch, a power of two: enough that linked and other sets differ clearly."""
+    return 1 << min(13, max(8, (64 * size * (100 - percent) // (100 + percent)).bit_length()))
+
+
+def parity_sketch(value: np.ndarray, bits: int) -> bytes:
+    """For each of the bits, whether an odd number of the set's hashes fall on it. Two sketches differ in as many bits as the
+    sets have differences, or fewer. Half a sketch XOR the other half is the sketch of half the bits."""
+    count = np.bincount((mix64(value ^ np.uint64(0xE7037ED1A0B428DB)) % np.uint64(bits)).astype(np.int64), minlength=bits)
+    return np.packbits((count & 1).astype(np.uint8)).tobytes()
+
+
+def _sketches(texts: DataFrame, width: int, percent: int) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            for row, data, at in slabs(batch.column(1)):
+                doc, value = shingle_sets(data, at, width)
+                n = np.bincount(doc, minlength=len(at) - 1)
+                ends = np.cumsum(n)
+                made = [parity_sketch(value[e - k : e], sketch_bits(k, percent)) for e, k in zip(ends.tolist(), n.tolist())]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(n)), pa.array(n), pa.array(made, pa.binary())], ["id", "n", "sketch"])
+
+    return texts.mapInArrow(run, "id long, n long, sketch binary")
+
+
+def near_in_group(rows: list[tuple], percent: int) -> list[tuple[int, int]]:
+    """Pairs of a group's rows (chunk, id, part, n, low, high, sketch) that may link: of different parts, not compared before,
+    of sizes and sketches that do not rule it out. With two chunks only pairs between them."""
+    bits = min(len(r[6]) for r in rows)
+
+    def folded(sketch: bytes) -> np.ndarray:
+        x = np.frombuffer(sketch, np.uint8)
+        while len(x) > bits:
+            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+        return x
+
+    bit = np.stack([folded(r[6]) for r in rows]).view(np.uint64)
+    chunk, ids, part, n = (np.array([r[i] for r in rows], np.int64) for i in range(4))
+    done = (ids == rows[0][4]) | (ids == rows[0][5])
+    both, out = chunk.min() != chunk.max(), []
+    for i in range(len(rows) - 1):
+        if done[i]:
+            continue
+        o = slice(i + 1, None)
+        ok = (part[o] != part[i]) & ~done[o] & (100 * np.minimum(n[o], n[i]) >= percent * np.maximum(n[o], n[i]))
+        if both:
+            ok &= chunk[o] != chunk[i]
+        if ok.any():
+            differ = np.bitwise_count(bit[o][ok] ^ bit[i]).sum(1, dtype=np.int64)
+            hit = ids[o][ok][differ * (100 + percent) <= (n[o][ok] + n[i]) * (100 - percent)]
+            out.extend((min(int(ids[i]), h), max(int(ids[i]), h)) for h in hit.tolist())
+    return out
+
+
+def _near_sketches(left: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Pairs of ids of one index entry whose sketches allow a link. The members of an entry are dealt into chunks, and each
+    pair of chunks is a group of its own."""
+    rows = left.join(sketches, "id").withColumn("c", F.pmod(F.xxhash64("id", "sig"), F.col("chunks")))
+    rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    rows = rows.select("sig", F.least("c", "j").alias("c0"), F.greatest("c", "j").alias("c1"), "c", "id", "part", "n", "low", "high", "sketch")
+    dealt = rows.repartition("sig", "c0", "c1").sortWithinPartitions("sig", "c0", "c1")
+
+    def run(batches):
+        of, held = None, []
+        for batch in batches:
+            out = []
+            columns = [x.to_pylist() for x in batch.columns]
+            for g, row in zip(zip(*columns[:3]), zip(*columns[3:])):
+                if g != of:
+                    if len(held) > 1:
+                        out.extend(near_in_group(held, percent))
+                    of, held = g, []
+                held.append(row)
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
+        out = near_in_group(held, percent) if len(held) > 1 else []
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long")
+
+
 # --- the join --------------------------------------------------------------------------------------------------------
 
 
@@ -264,19 +348,11 @@ def similarity_components(df: DataFrame, key: str = "doc_id", text: str = "text"
     near = tables.kept(_compared(alone, pairs.distinct(), width, percent))
     groups = tables.kept(components(near, "a", "b"))
 
-    # Classes of one entry in different components: all of them are compared with one another.
+    # Classes of one entry in different components: all of them are compared, first by their sketches.
     entry = entries.join(groups.withColumnRenamed("node", "id"), "id", "left").select("sig", "id", "low", "high", F.coalesce("component", "id").alias("part"))
-    open_entries = entry.groupBy("sig").agg(F.min("part").alias("p0"), F.max("part").alias("p1")).filter("p0 <> p1").select("sig")
-    left = tables.kept(entry.join(open_entries, "sig").distinct())
-    n = sizes.select(F.col("id").alias("nid"), "n")
-    sized = left.join(n, left.id == n.nid).select("sig", "id", "part", "n", "low", "high")
-    x, y = sized.alias("x"), sized.alias("y")
-    more = (
-        x.join(y, F.expr(f"x.sig = y.sig and x.id < y.id and x.part <> y.part and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"))
-        .filter("x.id not in (x.low, x.high) and y.id not in (x.low, x.high)")
-        .select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-        .distinct()
-    )
+    several = entry.groupBy("sig").agg(F.min("part").alias("p0"), F.max("part").alias("p1"), F.ceil(F.count("*") / CHUNK).alias("chunks")).filter("p0 <> p1").select("sig", "chunks")
+    left = tables.kept(entry.join(several, "sig").distinct())
+    more = _near_sketches(left, _sketches(tables.only_ids(alone, "id", left.select("id").distinct()), width, percent), percent).distinct()
     late = tables.kept(_compared(alone, more, width, percent))
     if late.take(1):
         groups = tables.kept(components(near.union(late), "a", "b"))
