@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import views
 from ..functions.scalars import stars
+from ..functions.shared import checkpointed
 from ..operators import clustering, expression, factors, graph, ranking, spatial, statistics
 from ..sources.tables import cells_of_customers, cells_of_events, embedding_views, expression_of_customers, predictions, table
 from . import communities
@@ -279,7 +280,7 @@ p AS (SELECT * FROM pts WHERE {which}), near AS (SELECT a.view, a.spot_id AS q,
 k AS (SELECT *, row_number() OVER (PARTITION BY view, q ORDER BY CASE WHEN q = r THEN 0 ELSE d END, r) AS k FROM near)"""
 
 
-_SIM = """sim AS (SELECT view, r AS src, q AS dst, CASE WHEN q = r THEN 0.5 ELSE 1 / (d + 2) END AS w FROM k WHERE k <= 10)"""
+_SIM = """sim AS MATERIALIZED (SELECT view, r AS src, q AS dst, CASE WHEN q = r THEN 0.5 ELSE 1 / (d + 2) END AS w FROM k WHERE k <= 10)"""
 
 
 def _points(spark, sf_dir, below: int = 200) -> DataFrame:
@@ -310,8 +311,8 @@ def _fill(spark, sf_dir):
 
 
 def _norm_sql(of: str, out: str, nodes: str = "nodes") -> str:
-    return f"""{out}_s AS (SELECT view, src, sum(w) AS s FROM {of} WHERE src <> dst GROUP BY 1, 2), {out}_n AS (SELECT e.view, e.src, e.dst, w / (2 * CASE WHEN s = 0 THEN 1 ELSE s END) AS w FROM {of} e JOIN {out}_s USING (view, src) WHERE e.src <> e.dst),
-{out} AS (SELECT view, src, dst, sum(w) / 2 AS w FROM (SELECT * FROM {out}_n UNION ALL SELECT view, dst, src, w FROM {out}_n) GROUP BY 1, 2, 3 UNION ALL SELECT view, id, id, 0.5 FROM {nodes})"""
+    return f"""{out}_s AS MATERIALIZED (SELECT view, src, sum(w) AS s FROM {of} WHERE src <> dst GROUP BY 1, 2), {out}_n AS MATERIALIZED (SELECT e.view, e.src, e.dst, w / (2 * CASE WHEN s = 0 THEN 1 ELSE s END) AS w FROM {of} e JOIN {out}_s USING (view, src) WHERE e.src <> e.dst),
+{out} AS MATERIALIZED (SELECT view, src, dst, sum(w) / 2 AS w FROM (SELECT * FROM {out}_n UNION ALL SELECT view, dst, src, w FROM {out}_n) GROUP BY 1, 2, 3 UNION ALL SELECT view, id, id, 0.5 FROM {nodes})"""
 
 
 _NODES = "nodes AS (SELECT v.view, s.id FROM (SELECT DISTINCT view FROM sim) v, (SELECT src AS id FROM sim UNION SELECT dst FROM sim) s)"
@@ -319,17 +320,17 @@ _NODES = "nodes AS (SELECT v.view, s.id FROM (SELECT DISTINCT view FROM sim) v,
 
 @_query("snf_normalize", f"WITH {_points_sql()}, {_SIM}, {_NODES}, {_norm_sql('sim', 'w1')} SELECT view, src, dst, round(w, 6) AS w FROM w1")
 def _snf_normalize(spark, sf_dir):
-    return _rounded(graph.normalized(graph.similarity_graph(_points(spark, sf_dir), 10)), "w")
+    return _rounded(graph.normalized(checkpointed(graph.similarity_graph(_points(spark, sf_dir), 10))), "w")
 
 
 @_query("snf_one_round", f"""WITH {_points_sql('spot_id < 80')}, {_SIM}, {_NODES}, {_norm_sql('sim', 'w1')},
-dom AS (SELECT view, src, dst, w FROM (SELECT *, row_number() OVER (PARTITION BY view, src ORDER BY w DESC, dst DESC) AS r FROM w1 WHERE w <> 0) WHERE r <= 10), {_norm_sql('dom', 'pn')},
-y AS (SELECT p.view, p.src AS i, o.dst AS l, sum(p.w * o.w) AS y FROM pn p JOIN w1 o ON o.view <> p.view AND o.src = p.dst GROUP BY 1, 2, 3),
-x AS (SELECT y.view, i AS src, q.src AS dst, sum(y * q.w) AS w FROM y JOIN pn q ON q.view = y.view AND q.dst = l GROUP BY 1, 2, 3), {_norm_sql('x', 'w2')}
+dom AS MATERIALIZED (SELECT view, src, dst, w FROM (SELECT *, row_number() OVER (PARTITION BY view, src ORDER BY w DESC, dst DESC) AS r FROM w1 WHERE w <> 0) WHERE r <= 10), {_norm_sql('dom', 'pn')},
+y AS MATERIALIZED (SELECT p.view, p.src AS i, o.dst AS l, sum(p.w * o.w) AS y FROM pn p JOIN w1 o ON o.view <> p.view AND o.src = p.dst GROUP BY 1, 2, 3),
+x AS MATERIALIZED (SELECT y.view, i AS src, q.src AS dst, sum(y * q.w) AS w FROM y JOIN pn q ON q.view = y.view AND q.dst = l GROUP BY 1, 2, 3), {_norm_sql('x', 'w2')}
 SELECT src, dst, round(sum(w) / count(*) FILTER (w > 0), 6) AS w FROM w2 GROUP BY 1, 2 HAVING sum(w) <> 0""")
 def _snf_round(spark, sf_dir):
-    now = graph.normalized(graph.similarity_graph(_points(spark, sf_dir, 80), 10))
-    near = graph.normalized(graph.dominate_set(now, 10, 80))
+    now = checkpointed(graph.normalized(checkpointed(graph.similarity_graph(_points(spark, sf_dir, 80), 10))))
+    near = checkpointed(graph.normalized(checkpointed(graph.dominate_set(now, 10, 80))))
     return _rounded(graph.combined(graph.fusion_round(now, near, 2)), "w")
 
 
