@@ -20,7 +20,7 @@ def ratio(a: Column, b: Column) -> Column:
 
 
 def clipped(x: Column, low: float, high: float) -> Column:
-    return F.greatest(F.least(x, F.lit(high)), F.lit(low))
+    return F.when(x.isNotNull(), F.greatest(F.least(x, F.lit(high)), F.lit(low)))
 
 
 def log2p1(x: Column) -> Column:

@@ -79,7 +79,7 @@ def scale(expr: DataFrame, cells: DataFrame, center: bool = True, do_scale: bool
         by = expr.groupBy("gene").agg(F.sum(F.col("value") ** 2).alias("ss")).join(F.broadcast(n)).select("gene", F.lit(0.0).alias("mean"), F.sqrt(ratio(F.col("ss"), F.col("n") - 1)).alias("by"))
     z = F.col("value") - F.col("mean")
     z = ratio(z, F.col("by")) if do_scale else z
-    return full.join(F.broadcast(by), "gene").select("cell_id", "gene", F.coalesce(F.least(z, F.lit(float(most))), F.lit(0.0)).alias("value"))
+    return full.join(F.broadcast(by), "gene").select("cell_id", "gene", F.least(F.coalesce(z, F.lit(0.0)), F.lit(float(most))).alias("value"))
 
 
 def znorm(expr: DataFrame, cells: DataFrame, group: str | None = None) -> DataFrame:
@@ -128,9 +128,9 @@ def marker_scores(expr: DataFrame, cells: DataFrame, group: str, sets: DataFrame
     logs = mean.join(some, "gene", "left_semi").filter(F.col(group) != without).withColumn("value", log2p1(F.col("value")))
     per = sets.join(logs, "gene").groupBy("gene_set", group).agg(F.avg("value").alias("value"))
     w = Window.partitionBy("gene_set")
-    z = F.least(ratio(F.col("value") - F.avg("value").over(w), F.stddev_samp("value").over(w)), F.lit(10.0))
+    z = ratio(F.col("value") - F.avg("value").over(w), F.stddev_samp("value").over(w))
     groups = cells.filter(F.col(group) != without).select(group).distinct()
-    scaled = per.withColumn("value", F.coalesce(z, F.lit(0.0)))
+    scaled = per.withColumn("value", F.least(F.coalesce(z, F.lit(0.0)), F.lit(10.0)))
     return sets.select("gene_set").distinct().join(F.broadcast(groups)).join(scaled, ["gene_set", group], "left")
 
 
