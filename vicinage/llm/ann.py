@@ -5,7 +5,7 @@ place of each pivot, in the pivots' inverted files, block of vectors by block. A
 pivots; the footrule distance of the two orders ranks what it finds in a block, and the best are ranked again by cosine.
 
 Cases: vectors that are null, of zero length or norm, or have null or non-finite components take no part, and neither do
-vectors of another length than the first pivot's; equal vectors tie and the smaller id comes first; with fewer candidates
+vectors of another length than most; equal vectors tie and the smaller id comes first; with fewer candidates
 than asked for all are returned; an empty table gives an empty table; rows with a null id take no part; only the id and
 vector columns are read, so extra columns cannot clash.
 """
@@ -38,8 +38,7 @@ def choose_pivots(vectors: DataFrame, n: int = PIVOTS) -> np.ndarray:
     """n vectors with the smallest hashes of their ids, no two equal, of unit length."""
     rows = vectors.select("v").groupBy("v").agg(F.lit(1)).select("v").orderBy(F.xxhash64("v")).limit(n).collect()
     rows = [r["v"] for r in rows if len(r["v"]) == len(rows[0]["v"])]
-    m = np.array(rows, np.float64).reshape(len(rows), -1)
-    return m / (np.linalg.norm(m, axis=1, keepdims=True) if len(m) else 1.0)
+    return _unit(np.array(rows, np.float64)) if rows else np.zeros((0, 0))
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -47,6 +46,14 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.linalg.norm(m, axis=1, keepdims=True)
 
 
+def _in_range(m: np.ndarray) -> np.ndarray:
+    """Vectors whose squares would vanish or overflow, scaled; others as they are."""
+    with np.errstate(over="ignore"):
+        n = (m * m).sum(1)
+    odd = ~((n > 1e-280) & (n < 1e280))
+    return np.where(odd[:, None], m / np.abs(m).max(1, keepdims=True), m)
+
+
 def permutations(m: np.ndarray, pivots: np.ndarray, length: int) -> np.ndarray:
     """For each vector its nearest pivots in order, ties to the smaller number."""
     return np.argsort(-(_unit(m) @ pivots.T), 1, kind="stable")[:, :length].astype(np.int16)
@@ -90,6 +97,7 @@ def footrule_gains(query: np.ndarray, starts: np.ndarray, vectors: np.ndarray, p
 def search_block(q_ids, q, q_perm, ids, m, perm, pivots: int, k: int, rerank: int):
     """For each query its best k in the block: (query, vector, score)."""
     starts, vectors, places = inverted_files(perm, pivots)
+    m, q = _in_range(m), _in_range(q)
     norms, q_norms = np.sqrt((m * m).sum(1)), np.sqrt((q * q).sum(1))
     out = []
     for i in range(len(q_ids)):
@@ -113,6 +121,8 @@ def search(df: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str =
     spark = df.sparkSession
     rows, asked = usable(df, key, vector), usable(queries, key, vector)
     schema = "query_id long, vec_id long, score double"
+    usual = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
+    rows, asked = (x.filter(F.size("v") == (usual["n"] if usual else 0)) for x in (rows, asked))
     chosen = choose_pivots(rows, pivots)
     if not len(chosen):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
