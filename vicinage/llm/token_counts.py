@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import tables
 from .encoding import encoded_slabs, encoder
 
 #: Lengths are summed within blocks of so many, and then over blocks, so that no task has to order all lengths.
@@ -32,7 +33,7 @@ def token_lengths(df: DataFrame, ranks_path: str, pattern: str, text: str = "tex
 def length_histogram(lengths: DataFrame) -> DataFrame:
     """One row per length: documents of it; documents and tokens of at least it (suffix sums); and for that length as a context
     limit the tokens that remain (``truncated_total``) and go (``lost_tokens``), and the share of documents up to it."""
-    counts = lengths.groupBy("n_tokens").agg(F.count("*").alias("n_docs")).withColumn("block", F.floor(F.col("n_tokens") / BLOCK))
+    counts = tables.kept(lengths.groupBy("n_tokens").agg(F.count("*").alias("n_docs"))).withColumn("block", F.floor(F.col("n_tokens") / BLOCK))
     counts = counts.withColumn("tokens", F.col("n_tokens") * F.col("n_docs"))
     blocks = counts.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum("tokens").alias("t"))
     above = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)  # one row per BLOCK lengths
