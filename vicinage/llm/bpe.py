@@ -17,12 +17,16 @@ import heapq
 import json
 import zlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .encoding import encoded_slabs
+from .textbytes import SLAB_BYTES
+
 #: Bytes of text whose words share one set of distinct words.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 16 << 20
 LONG_WORD = 512
 _BUCKETS = 1 << 16
 _NONE = 2**31 - 1
@@ -127,39 +131,38 @@ class _Numbered(dict):
 
 
 def _blocks(df: DataFrame, key: str, text: str, pattern: str, ranks: dict[bytes, int]) -> DataFrame:
-    """A row for each block of documents: keys, per document the numbers of its words, and the distinct words."""
-    import regex
-
+    """A row for each block of documents: keys, per document the numbers of its words, and the distinct words: a word, or for a
+    long one its ids."""
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches):
+        import regex
+
         find = regex.compile(pattern).findall
-        numbers, keys, sizes, found, size = _Numbered(), [], [0], [], 0
+        numbers, keys, flat, ends, size, key_type = _Numbered(), [], [], [0], 0, None
 
-        def block(key_type):
+        def block():
             raw = [w.encode() for w in numbers]
             words = pa.StructArray.from_arrays(
                 [pa.array([w.decode("latin-1") if len(w) <= LONG_WORD else None for w in raw], pa.string()), pa.array([None if len(w) <= LONG_WORD else merge_with_heap(w, ranks) for w in raw], pa.list_(pa.int32()))],
                 ["word", "ids"],
             )
-            docs = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(found, pa.int32()))
+            docs = pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), pa.array(np.concatenate([*flat, np.zeros(0, np.uint32)]).astype(np.int32)))
             one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
             return pa.RecordBatch.from_arrays([one(pa.array(keys, key_type)), one(docs), one(words)], ["keys", "docs", "words"])
 
-        key_type = pa.int64()
         for batch in batches:
             key_type = batch.column(0).type
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-                t = t.as_py() or ""
-                found.extend(map(numbers.__getitem__, find(t)))
-                keys.append(k)
-                sizes.append(len(found))
-                size += len(t)
+            for row, found, at in encoded_slabs(batch.column(1), lambda piece: list(map(numbers.__getitem__, find(piece)))):
+                keys.extend(batch.column(0).slice(row, len(at) - 1).to_pylist())
+                flat.append(found)
+                ends.extend((at[1:] + ends[-1]).tolist())
+                size += SLAB_BYTES
                 if size >= BLOCK_BYTES:
-                    yield block(key_type)
-                    numbers, keys, sizes, found, size = _Numbered(), [], [0], [], 0
+                    yield block()
+                    numbers, keys, flat, ends, size = _Numbered(), [], [], [0], 0
         if keys:
-            yield block(key_type)
+            yield block()
 
     return df.select(key, text).mapInArrow(run, f"keys array<{kind}>, docs array<array<int>>, words array<struct<word:string,ids:array<int>>>")
 
@@ -171,7 +174,8 @@ def encode(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: st
 
     def encoded(buckets: Column) -> Column:
         distinct = F.transform("words", lambda w: F.when(w["word"].isNull(), w["ids"]).otherwise(fold_merges(w["word"], buckets)))
-        return _let(distinct, lambda ids: F.zip_with("keys", "docs", lambda k, d: F.struct(k.alias("key"), F.flatten(F.transform(d, lambda i: F.element_at(ids, i))).alias("ids"))))
+        of_doc = lambda ids, d: F.flatten(F.transform(d, lambda i: F.element_at(ids, i)))
+        return _let(distinct, lambda ids: F.zip_with("keys", "docs", lambda k, d: F.struct(k.alias("key"), of_doc(ids, d).alias("ids"))))
 
     rows = blocks.select(F.explode(_let(rank_map(ranks), encoded)).alias("row"))
     return rows.select(F.col("row.key").alias(key), F.col("row.ids").alias("ids"))
