@@ -35,7 +35,7 @@ from .components import components
 from .textbytes import group_sums, lowered, mix64, slabs, span_hashes, word_spans
 
 #: Blocks of a segment that may be chosen; 1 stands for threshold 0.
-BLOCKS = (1, 3, 4, 6, 8)
+BLOCKS = (1, 3, 4)
 #: A candidate pair costs as much as so many index entries; the share of a set that unrelated sets may have in common.
 PAIR_COST, SHARED = 20.0, 0.5
 #: Sets that must index empty subsets should be fewer than this share.
