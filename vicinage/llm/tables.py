@@ -26,7 +26,7 @@ def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """The rows as a Parquet table in the shared folder, reread, and its path."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
