@@ -13,7 +13,7 @@ import brute
 import numpy as np
 import pytest
 
-from vicinage.llm import ann, bpe, chat, encoding, hmm, jaccard, media, mpeg, packing, pii, quality, token_counts
+from vicinage.llm import ann, bpe, chat, encoding, hmm, jaccard, media, mpeg, packing, pii, quality, textbytes, token_counts
 
 EMPTY = "doc_id long, text string"
 ODD = [(1, None), (2, ""), (3, "word " * 3000), (4, "same text here"), (5, "same text here"), (6, "é 日本 🎉\n\t x"), (7, "a" * 5000)]
@@ -121,6 +121,19 @@ def test_jaccard_equals_all_pairs(spark, documents):
     assert jaccard.similarity_components(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("width", [3, 5])
+def test_slabs_of_fewer_words_than_a_shingle(width):
+    import pyarrow as pa
+
+    for n in range(7):
+        texts = [" ".join("abcdefg"[:n])]
+        found = [jaccard.shingle_sets(data, at, width) for _, data, at in textbytes.slabs(pa.array(texts))]
+        assert sum(len(value) for _, value in found) == len(brute.shingles(texts[0], width))
+    texts = ["a b", "long " * (textbytes.SLAB_BYTES // 5 + 1), "a b c"]
+    sizes = [np.bincount(jaccard.shingle_sets(data, at, width)[0], minlength=len(at) - 1) for _, data, at in textbytes.slabs(pa.array(texts))]
+    assert len(sizes) == 3 and np.concatenate(sizes).tolist() == [len(brute.shingles(t, width)) for t in texts]
+
+
 @pytest.mark.parametrize("blocks", [1, 3, 6])
 def test_every_allocation_finds_all_links(blocks, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCKS", (blocks,))

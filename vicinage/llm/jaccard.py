@@ -108,10 +108,11 @@ def shingle_sets(data: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarr
     words = np.bincount(doc, minlength=len(at) - 1)
     value = np.zeros(n, np.uint64)
     for j in range(width):  # of each start the hash of its next words, as far as they lie in the same document
+        m = max(0, n - j)  # a slab may hold fewer words than a shingle
         inside = np.zeros(n, bool)
-        inside[: n - j] = doc[j:] == doc[: n - j]
+        inside[:m] = doc[j:] == doc[:m]
         step = np.zeros(n, np.uint64)
-        step[: n - j] = h[j:]
+        step[:m] = h[j:]
         value = np.where(inside, mix64(value * np.uint64(0x9E3779B97F4A7C15) + step + np.uint64(1)), value)
     first = np.zeros(n, bool)
     first[:1] = True
