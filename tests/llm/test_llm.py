@@ -121,6 +121,35 @@ def test_jaccard_equals_all_pairs(spark, documents):
     assert jaccard.similarity_components(frame(spark, [])).count() == 0
 
 
+def test_every_link_is_found_and_counted(spark, documents, monkeypatch):
+    monkeypatch.setattr(jaccard, "LINK_SETS", 3)  # several chunks a component
+    random.seed(6)
+    rows = documents[:60] + [(5000 + i, t) for i, t in ODD]
+    for n in (3, 12, 60, 200):
+        base = [f"v{random.randrange(400)}" for _ in range(n)]
+        for k in range(12):
+            w = list(base)
+            for _ in range(k % 4):
+                w[random.randrange(n)] = f"x{random.randrange(400)}"
+            rows.append((len(rows) + 10_000, " ".join(w)))
+    for width, percent in ((3, 90), (5, 80)):
+        sets = {i: brute.shingles(t, width) for i, t in rows}
+        want = {(a, b) for a in sets for b in sets if a < b and jaccard.linked(sets[a], sets[b], percent)}
+        components = brute.jaccard_components(rows, width, percent)
+        for r in jaccard.similarity_links(frame(spark, rows), width=width, percent=percent).collect():
+            assert (r.n_shingles, r.component_id) == components[r.doc_id] and r.n_links == sum(r.doc_id in p for p in want)
+        pairs, members = jaccard.similarity_pairs(frame(spark, rows), width=width, percent=percent)
+        of = collections.defaultdict(list)
+        for r in members.collect():
+            of[r.head].append(r.doc_id)
+        got = [(r.a, r.b) for r in pairs.collect()]
+        assert len(got) == len(set(got)) and all(a < b for a, b in got)
+        spread = {tuple(sorted((i, j))) for a, b in got for i in of[a] for j in of[b]}
+        same = {(i, j) for head in of if sets[head] for i in of[head] for j in of[head] if i < j}
+        assert spread | same == want and not spread & same
+    assert jaccard.similarity_links(frame(spark, [])).count() == 0
+
+
 @pytest.mark.parametrize("width", [3, 5])
 def test_slabs_of_fewer_words_than_a_shingle(width):
     import pyarrow as pa

@@ -1,4 +1,5 @@
-"""Exact similarity join of documents on their word shingles: which documents are linked, directly or through others.
+"""Exact similarity join of documents on their word shingles: which documents are linked, directly or through others, how many
+links each has, and the links.
 
 Two documents link when the Jaccard similarity of their shingle sets reaches a threshold. Linked sets differ in a bounded
 number of shingles U, and so have much in common once the universe of shingles is cut by a hash:
@@ -42,6 +43,8 @@ PAIR_COST, SHARED = 20.0, 0.5
 TAIL = 0.01
 #: Members of one set's comparisons are spread over so many groups; members of an entry are compared in chunks of so many.
 SALTS, CHUNK = 16, 512
+#: Links are counted between chunks of a component that hold about so many sets, or so many shingles.
+LINK_SETS, LINK_SHINGLES = 512, 1 << 19
 
 
 # --- what is indexed -------------------------------------------------------------------------------------------------
@@ -328,6 +331,20 @@ def similarity_components(df: DataFrame, key: str = "doc_id", text: str = "text"
 
     ``width``: words of a shingle; ``percent``: the least similarity that links, in hundredths.
     """
+    sizes, named = _components(df, key, text, width, percent)[1:]
+    return sizes.select("id", "n").join(named, "id", "left").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+
+
+def _found(df: DataFrame, key: str, text: str, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The texts (id, text), and a written table of the rows of ``similarity_components`` with ``head``, the smallest key of the row's set."""
+    texts, sizes, named = _components(df, key, text, width, percent)
+    rows = sizes.select("id", "n").join(named, "id", "left")
+    rows = rows.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), F.coalesce("head", "id").alias("head"))
+    return texts, tables.written(rows, "components")[0]
+
+
+def _components(df: DataFrame, key: str, text: str, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Texts (id, text), their sizes (id, n, ..), and the component and the head (smallest id) of each set's ids."""
     spark = df.sparkSession
     texts = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).filter("id is not null")
     sizes, _ = tables.written(_sizes(texts, width), "sizes")
@@ -359,9 +376,140 @@ def similarity_components(df: DataFrame, key: str = "doc_id", text: str = "text"
         groups = tables.kept(components(near.union(late), "a", "b"))
     tables.drop(spark, entries_path)
 
-    named = heads.join(groups.withColumnRenamed("node", "head"), "head", "left").select("id", F.coalesce("component", "head").alias("component_id"))
-    return sizes.select("id", "n").join(named, "id", "left").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    named = heads.join(groups.withColumnRenamed("node", "head"), "head", "left").select("id", "head", F.coalesce("component", "head").alias("component_id"))
+    return texts, sizes, named
+
+
+# --- links -----------------------------------------------------------------------------------------------------------
+
+
+def _shingles(texts: DataFrame, width: int) -> DataFrame:
+    """(id, shingles): the set's sorted hashes, eight bytes each."""
+
+    def run(batches):
+        for batch in batches:
+            for row, data, at in slabs(batch.column(1)):
+                doc, value = shingle_sets(data, at, width)
+                ends = np.cumsum(np.bincount(doc, minlength=len(at) - 1)).tolist()
+                made = [value[a:b].tobytes() for a, b in zip([0, *ends], ends)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(ends)), pa.array(made, pa.binary())], ["id", "shingles"])
+
+    return texts.mapInArrow(run, "id long, shingles binary")
+
+
+def common_counts(a: list[np.ndarray], b: list[np.ndarray], step: int = 4096) -> np.ndarray:
+    """How many values each set of ``a`` and each of ``b`` have in common."""
+
+    def flat(sets):
+        return np.repeat(np.arange(len(sets)), [len(x) for x in sets]), np.concatenate(sets)
+
+    (i, x), (j, y) = flat(a), flat(b)
+    both = np.intersect1d(x, y)
+    out = np.zeros((len(a), len(b)), np.int64)
+
+    def cells(owner, value):
+        at = np.minimum(np.searchsorted(both, value), max(0, len(both) - 1))
+        use = both[at] == value if len(both) else np.zeros(len(value), bool)
+        order = np.argsort(at[use], kind="stable")
+        return owner[use][order], at[use][order]
+
+    (i, x), (j, y) = cells(i, x), cells(j, y)
+    for first in range(0, len(both), step):  # sums under 2**24, exact in float32
+        m, n = np.zeros((len(a), step), np.float32), np.zeros((len(b), step), np.float32)
+        for owner, value, to in ((i, x, m), (j, y, n)):
+            p, q = np.searchsorted(value, [first, first + step])
+            to[owner[p:q], value[p:q] - first] = 1
+        out += (m @ n.T).astype(np.int64)
+    return out
+
+
+def links_in_group(rows: list[tuple[int, int, bytes]], percent: int) -> list[tuple[int, int]]:
+    """All links (a, b), a < b, of a group's sets (chunk, id, shingles); with two chunks only those between them."""
+    chunks = sorted({r[0] for r in rows})
+    ids = [np.array([r[1] for r in rows if r[0] == c], np.int64) for c in chunks]
+    sets = [[np.frombuffer(r[2], np.uint64) for r in rows if r[0] == c] for c in chunks]
+    common = common_counts(sets[0], sets[-1])
+    n, m = (np.array([len(x) for x in s], np.int64) for s in (sets[0], sets[-1]))
+    hit = (common > 0) & (100 * common >= percent * (n[:, None] + m[None] - common))
+    if len(chunks) == 1:
+        hit &= ids[0][:, None] < ids[0][None]
+    i, j = np.nonzero(hit)
+    a, b = ids[0][i], ids[-1][j]
+    return list(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist()))
+
+
+def _dealt_links(members: DataFrame, run_group, schema: str) -> DataFrame:
+    """``run_group`` of the rows (c, id, weight, shingles) of each chunk or pair of chunks of a component; so each pair of a component's sets
+    meets in one group only."""
+    rows = members.withColumn("c", F.pmod(F.xxhash64("id"), F.col("chunks")))
+    rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    rows = rows.select("component", F.least("c", "j").alias("c0"), F.greatest("c", "j").alias("c1"), "c", "id", "weight", "shingles")
+    dealt = rows.repartition("component", "c0", "c1").sortWithinPartitions("component", "c0", "c1")
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(batches):
+        of, held = None, []
+
+        def done():
+            found = run_group(held) if len(held) > 1 and (of[1] == of[2] or len({r[0] for r in held}) > 1) else []
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in range(len(names))], names)
+
+        for batch in batches:
+            columns = [x.to_pylist() for x in batch.columns]
+            for g, row in zip(zip(*columns[:3]), zip(*columns[3:])):
+                if g != of:
+                    yield done()
+                    of, held = g, []
+                held.append(row)
+        yield done()
+
+    return dealt.mapInArrow(run, schema)
+
+
+def _members(texts: DataFrame, found: DataFrame, key: str, width: int) -> DataFrame:
+    """The different sets of each component that has several: (component, chunks, id, weight, shingles); ``weight``: documents of the set."""
+    heads = found.filter("n_shingles > 0").groupBy("component_id", "head").agg(F.count_distinct(key).alias("weight"), F.first("n_shingles").alias("n"))
+    chunks = F.ceil(F.greatest(F.count("*") / LINK_SETS, F.sum("n") / LINK_SHINGLES)).alias("chunks")
+    several = heads.groupBy("component_id").agg(F.count("*").alias("sets"), chunks).filter("sets > 1").select("component_id", "chunks")
+    used = tables.kept(heads.join(several, "component_id").select(F.col("component_id").alias("component"), "chunks", F.col("head").alias("id"), "weight"))
+    shingles = _shingles(tables.only_ids(texts, "id", used.select("id")), width).dropDuplicates(["id"])
+    return used.join(shingles, "id")
+
+
+def similarity_pairs(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, percent: int = 90) -> tuple[DataFrame, DataFrame]:
+    """Every link between different sets, as pairs (a, b) of the smallest keys of the two sets, a < b; and the membership: one row per
+    key with n_shingles, component_id and ``head``, the smallest key with the same set. Documents of one set link with one another.
+
+    Linked sets lie in one component, so all pairs of a component's sets are compared and no others. Shingles are compared by
+    the 64-bit hashes that count them. The pairs of a large group are as many as the square of its sets: for their number
+    alone see ``similarity_links``.
+    """
+    texts, found = _found(df, key, text, width, percent)
+    pairs = _dealt_links(_members(texts, found, key, width), lambda rows: links_in_group([(c, i, s) for c, i, _, s in rows], percent), "a long, b long")
+    return pairs, found
+
+
+def similarity_links(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, percent: int = 90) -> DataFrame:
+    """``similarity_components`` and ``n_links``: how many other documents link with the row's, those of an equal set included. Counts
+    are summed in the tasks that compare, so that pairs are never rows."""
+    texts, found = _found(df, key, text, width, percent)
+
+    def counts(rows):
+        weight, total = {r[1]: r[2] for r in rows}, {}
+        for a, b in links_in_group([(c, i, s) for c, i, _, s in rows], percent):
+            total[a] = total.get(a, 0) + weight[b]
+            total[b] = total.get(b, 0) + weight[a]
+        return list(total.items())
+
+    other = _dealt_links(_members(texts, found, key, width), counts, "head long, links long").groupBy("head").agg(F.sum("links").alias("links"))
+    same = found.filter("n_shingles > 0").groupBy("head").agg((F.count_distinct(key) - 1).alias("copies"))
+    zero = F.lit(0).cast("long")
+    return found.join(same.join(other, "head", "left"), "head", "left").select(key, "n_shingles", "component_id", (F.coalesce("copies", zero) + F.coalesce("links", zero)).alias("n_links"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     return similarity_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def links_query(spark, sf_dir: str) -> DataFrame:
+    return similarity_links(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -8,6 +8,7 @@ QUERIES = {
     "op1_pii": pii.query,
     "op2_media": media.query,
     "op3_ngram_jaccard_join": jaccard.query,
+    "op3_ngram_jaccard_links": jaccard.links_query,
     "op4_byte_bpe": bpe.query,
     "op5_hmm_lm": hmm.query,
     "op6_chat_format": chat.query,
