@@ -283,30 +283,34 @@ k AS (SELECT *, row_number() OVER (PARTITION BY view, q ORDER BY CASE WHEN q = r
 _SIM = """sim AS MATERIALIZED (SELECT view, r AS src, q AS dst, CASE WHEN q = r THEN 0.5 ELSE 1 / (d + 2) END AS w FROM k WHERE k <= 10)"""
 
 
-def _points(spark, sf_dir, below: int = 200) -> DataFrame:
-    return embedding_views(spark, sf_dir).filter(F.col("spot_id") < below)
+def _points(spark, sf_dir, below: int | None = 200) -> DataFrame:
+    """Points of the views; ``below``: the ids that the SQL takes, None for the whole table."""
+    views = embedding_views(spark, sf_dir)
+    return views if below is None else views.filter(F.col("spot_id") < below)
 
 
 @_query("knn_similarity", f"WITH {_points_sql()}, {_SIM} SELECT view, src, dst, round(w, 6) AS w FROM sim")
-def _similarity(spark, sf_dir):
-    return _rounded(graph.similarity_graph(_points(spark, sf_dir), 10), "w")
+def _similarity(spark, sf_dir, below=200):
+    return _rounded(graph.similarity_graph(_points(spark, sf_dir, below), 10), "w")
 
 
 @_query("snn_graph", f"""WITH {_points_sql()}, n AS (SELECT view, q, r FROM k WHERE k <= 10), s AS (SELECT view, a.q AS src, b.q AS dst, count(*) AS s FROM n a JOIN n b USING (view, r) GROUP BY 1, 2, 3)
 SELECT view, src, dst, round(s / (20 - s), 6) AS w FROM s WHERE s / (20 - s) >= 1.0 / 15""")
-def _snn(spark, sf_dir):
-    return _rounded(graph.shared_neighbours(_points(spark, sf_dir), 10), "w")
+def _snn(spark, sf_dir, below=200):
+    return _rounded(graph.shared_neighbours(_points(spark, sf_dir, below), 10), "w")
 
 
 @_query("dominateset", f"""WITH {_points_sql()}, {_SIM}, t AS (SELECT *, row_number() OVER (PARTITION BY view, src ORDER BY w DESC, dst DESC) AS r FROM sim WHERE w <> 0)
 SELECT view, src, dst, round(w, 6) AS w FROM t WHERE r <= 5""")
-def _dominate(spark, sf_dir):
-    return _rounded(graph.dominate_set(graph.similarity_graph(_points(spark, sf_dir), 10), 5), "w")
+def _dominate(spark, sf_dir, below=200):
+    return _rounded(graph.dominate_set(graph.similarity_graph(_points(spark, sf_dir, below), 10), 5), "w")
 
 
 @_query("fillspots", f"WITH {_points_sql('CASE view WHEN $$a$$ THEN spot_id < 100 ELSE spot_id BETWEEN 50 AND 150 END')}, {_SIM} SELECT DISTINCT v.view, s.src AS spot_id FROM (SELECT DISTINCT view FROM sim) v, (SELECT src FROM sim UNION SELECT dst FROM sim) s")
-def _fill(spark, sf_dir):
-    rows = embedding_views(spark, sf_dir).filter(F.when(F.col("view") == "a", F.col("spot_id") < 100).otherwise(F.col("spot_id").between(50, 150)))
+def _fill(spark, sf_dir, cut=True):
+    rows = embedding_views(spark, sf_dir)
+    if cut:
+        rows = rows.filter(F.when(F.col("view") == "a", F.col("spot_id") < 100).otherwise(F.col("spot_id").between(50, 150)))
     return graph.fill_spots(graph.similarity_graph(rows, 10))
 
 
@@ -319,8 +323,8 @@ _NODES = "nodes AS (SELECT v.view, s.id FROM (SELECT DISTINCT view FROM sim) v,
 
 
 @_query("snf_normalize", f"WITH {_points_sql()}, {_SIM}, {_NODES}, {_norm_sql('sim', 'w1')} SELECT view, src, dst, round(w, 6) AS w FROM w1")
-def _snf_normalize(spark, sf_dir):
-    return _rounded(graph.normalized(checkpointed(graph.similarity_graph(_points(spark, sf_dir), 10))), "w")
+def _snf_normalize(spark, sf_dir, below=200):
+    return _rounded(graph.normalized(checkpointed(graph.similarity_graph(_points(spark, sf_dir, below), 10))), "w")
 
 
 @_query("snf_one_round", f"""WITH {_points_sql('spot_id < 80')}, {_SIM}, {_NODES}, {_norm_sql('sim', 'w1')},
@@ -328,9 +332,9 @@ dom AS MATERIALIZED (SELECT view, src, dst, w FROM (SELECT *, row_number() OVER
 y AS MATERIALIZED (SELECT p.view, p.src AS i, o.dst AS l, sum(p.w * o.w) AS y FROM pn p JOIN w1 o ON o.view <> p.view AND o.src = p.dst GROUP BY 1, 2, 3),
 x AS MATERIALIZED (SELECT y.view, i AS src, q.src AS dst, sum(y * q.w) AS w FROM y JOIN pn q ON q.view = y.view AND q.dst = l GROUP BY 1, 2, 3), {_norm_sql('x', 'w2')}
 SELECT src, dst, round(sum(w) / count(*) FILTER (w > 0), 6) AS w FROM w2 GROUP BY 1, 2 HAVING sum(w) <> 0""")
-def _snf_round(spark, sf_dir):
-    now = checkpointed(graph.normalized(checkpointed(graph.similarity_graph(_points(spark, sf_dir, 80), 10))))
-    near = checkpointed(graph.normalized(checkpointed(graph.dominate_set(now, 10, 80))))
+def _snf_round(spark, sf_dir, below=80):
+    now = checkpointed(graph.normalized(checkpointed(graph.similarity_graph(_points(spark, sf_dir, below), 10))))
+    near = checkpointed(graph.normalized(checkpointed(graph.dominate_set(now, 10, below))))
     return _rounded(graph.combined(graph.fusion_round(now, near, 2)), "w")
 
 
@@ -382,22 +386,23 @@ r AS (SELECT m.i, m.j, greatest(-1, least(1, sum((a.v - mx) * (b.v - my)) / sqrt
 mat AS (SELECT s.state AS i, t.state AS j, coalesce(avg(r.r), 0) AS value FROM st s CROSS JOIN st t LEFT JOIN r ON r.i = s.state AND r.j = t.state GROUP BY 1, 2)"""
 
 
-def _coassociation_matrix(spark, sf_dir) -> DataFrame:
-    cells = _some_outside(cells_of_events(spark, sf_dir).filter("cell_id < 5000")).withColumn("sample", F.concat(F.lit("S"), F.floor(F.col("cell_id") / 250)))
+def _coassociation_matrix(spark, sf_dir, below: int | None = 5000) -> DataFrame:
+    events = cells_of_events(spark, sf_dir)
+    cells = _some_outside(events if below is None else events.filter(F.col("cell_id") < below)).withColumn("sample", F.concat(F.lit("S"), F.floor(F.col("cell_id") / 250)))
     return statistics.coassociation(cells)
 
 
 @_query("coassociation", f"{_COASSOC} SELECT i, j, round(value, 6) AS value FROM mat")
-def _coassociation(spark, sf_dir):
-    return _rounded(_coassociation_matrix(spark, sf_dir))
+def _coassociation(spark, sf_dir, below=5000):
+    return _rounded(_coassociation_matrix(spark, sf_dir, below))
 
 
 @_query("coassociation_null", f"""{_COASSOC}, masked AS (SELECT i, j, CASE WHEN i <> j THEN value END AS value FROM mat), s AS (SELECT state, row_number() OVER (ORDER BY state) AS at FROM st),
 d AS (SELECT p.perm, state, row_number() OVER (PARTITION BY p.perm ORDER BY md5('1|' || p.perm || '|' || state), state) AS at FROM st, range(1, 6) p(perm)),
 mv AS (SELECT d.perm, m.i, d.state AS j, m.value FROM d JOIN s ON s.at = d.at JOIN masked m ON m.j = s.state)
 SELECT perm, split_part(i, '_', 1) AS se, round(avg(value), 6) AS value FROM mv WHERE split_part(i, '_', 1) = split_part(j, '_', 1) GROUP BY 1, 2""")
-def _coassociation_null(spark, sf_dir):
-    return _rounded(statistics.coassociation_null(_coassociation_matrix(spark, sf_dir), 5))
+def _coassociation_null(spark, sf_dir, below=5000, nperm=5):
+    return _rounded(statistics.coassociation_null(_coassociation_matrix(spark, sf_dir, below), nperm))
 
 
 _COLOC = f"""{_EV}, c AS (SELECT cell_id, x, y, cell_type, se || '_' || cell_type AS state FROM cells_ev WHERE cell_id < 3000),
@@ -412,21 +417,22 @@ s AS (SELECT a.perm, a.state AS i, b.state AS j, sum(1 / n) AS s FROM u JOIN lab
 mat AS (SELECT m.perm, m.i, t.state AS j, coalesce(s, 0) / m AS value FROM m CROSS JOIN (SELECT DISTINCT state FROM c) t LEFT JOIN s ON s.perm = m.perm AND s.i = m.i AND s.j = t.state)"""
 
 
-def _near_cells(spark, sf_dir) -> DataFrame:
-    return cells_of_events(spark, sf_dir).filter("cell_id < 3000")
+def _near_cells(spark, sf_dir, below: int | None = 3000) -> DataFrame:
+    events = cells_of_events(spark, sf_dir)
+    return events if below is None else events.filter(F.col("cell_id") < below)
 
 
 @_query("colocalization_observed", f"WITH {_COLOC} SELECT i, j, round(value, 6) AS value FROM mat WHERE perm = 0")
-def _colocalization(spark, sf_dir):
-    cells = _near_cells(spark, sf_dir)
+def _colocalization(spark, sf_dir, below=3000):
+    cells = _near_cells(spark, sf_dir, below)
     states = cells.select("cell_id", statistics.cell_state(F.col("se"), F.col("cell_type")).alias("state"))
     return _rounded(statistics.colocalization_matrix(statistics.neighbour_edges(cells, 80, 50), states, 5))
 
 
 @_query("colocalization_z", f"""WITH {_COLOC}, n AS (SELECT i, j, avg(value) AS m, stddev_samp(value) AS sd FROM mat WHERE perm > 0 GROUP BY 1, 2)
 SELECT i, j, round(value, 6) AS value, round((value - m) / CASE WHEN sd > 1e-9 THEN sd ELSE 1 END, 4) AS zscore FROM mat JOIN n USING (i, j) WHERE perm = 0""")
-def _colocalization_z(spark, sf_dir):
-    out = statistics.colocalization(_near_cells(spark, sf_dir), 80, 50, 5, nperm=5)
+def _colocalization_z(spark, sf_dir, below=3000, nperm=5):
+    out = statistics.colocalization(_near_cells(spark, sf_dir, below), 80, 50, 5, nperm=nperm)
     return out.select("i", "j", F.round("value", 6).alias("value"), F.round("zscore", 4).alias("zscore"))
 
 
@@ -544,12 +550,12 @@ def _pc_list(spark, sf_dir):
 
 @_query("snf_full")
 def _snf(spark, sf_dir):
-    return graph.fuse(graph.similarity_graph(_points(spark, sf_dir, 500), 20))
+    return graph.fuse(graph.similarity_graph(_points(spark, sf_dir, None), 20))
 
 
 @_query("louvain_clusters")
 def _louvain(spark, sf_dir):
-    return clustering.find_clusters(graph.shared_neighbours(_points(spark, sf_dir, 500), 20))
+    return clustering.find_clusters(graph.shared_neighbours(_points(spark, sf_dir, None), 20))
 
 
 _SMALL = {"radius": 50, "n_features": 25, "min_types": 1, "npcs": 10, "min_cells": 3, "min_features": 5, "iterations": 5, "k": 10, "k_graph": 20}
@@ -610,9 +616,35 @@ def _consensus(spark, sf_dir):
 
 @_query("colocalization_test")
 def _colocalization_test(spark, sf_dir):
-    return statistics.colocalization(_near_cells(spark, sf_dir), 80, 50, 5, nperm=20)
+    return statistics.colocalization(_near_cells(spark, sf_dir, None), 80, 50, 5)
 
 
 @_query("coassociation_test")
 def _coassociation_test(spark, sf_dir):
-    return statistics.coassociation_test(_coassociation_matrix(spark, sf_dir), 50)
+    return statistics.coassociation_test(_coassociation_matrix(spark, sf_dir, None))
+
+
+# --- whole tables: the queries above whose SQL takes the smallest ids only ---------------------------------------------
+
+
+def _all_points(make):
+    return lambda spark, sf_dir: make(spark, sf_dir, None)
+
+
+for _name, _make in {"knn_similarity": _similarity, "snn_graph": _snn, "dominateset": _dominate, "snf_normalize": _snf_normalize, "snf_one_round": _snf_round, "coassociation": _coassociation, "colocalization_observed": _colocalization}.items():
+    _query(f"{_name}_all")(_all_points(_make))
+
+
+@_query("fillspots_all")
+def _fill_all(spark, sf_dir):
+    return _fill(spark, sf_dir, False)
+
+
+@_query("coassociation_null_all")
+def _coassociation_null_all(spark, sf_dir):
+    return _coassociation_null(spark, sf_dir, None, 1000)
+
+
+@_query("colocalization_z_all")
+def _colocalization_z_all(spark, sf_dir):
+    return _colocalization_z(spark, sf_dir, None, 1000)
