@@ -227,6 +227,20 @@ def test_pieces_give_the_library_ids(documents):
     assert out == [library.encode_ordinary(t or "") for t in texts]
 
 
+def test_pieces_give_the_ids_of_the_tokenizers_file():
+    import public_tokenizers as P
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    t.encode_special_tokens = True  # as the vocabularies' README has it
+    end = "<|endoftext|>"
+    texts = [f"{end}a", f"a{end}", f"a {end} b", f"a  {end}{end}  b", f" {end} ", f"é{end}\n{end}", end, "it's 1234 <|endoftext| >"]
+    library = tokenizer("byte_bpe_50k.tiktoken")[2]
+    out = [ids[a:b].tolist() for _, ids, at in encoding.encoded_slabs(pa.array(texts), library.encode_ordinary) for a, b in zip(at[:-1], at[1:])]
+    assert out == [x.ids for x in t.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_histogram_answers_every_limit(spark, documents):
     path, pattern, library = tokenizer("byte_bpe_50k.tiktoken")
     rows = documents[:80] + ODD
