@@ -359,6 +359,19 @@ def test_quality_is_learned(spark, sf_dir):
     assert sum(r.predicted == labels[r.doc_id] for r in rows) / len(rows) > 0.93
 
 
+def test_quality_is_fitted_on_whole_texts(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda texts, labels: seen.extend(texts))
+    texts = {i: f"start{i} " + "word " * 4000 * (i % 3) + f"end{i}" for i in range(20)}
+    quality.train(frame(spark, list(texts.items())), spark.createDataFrame([(i, i % 2) for i in texts], "doc_id long, quality int"))
+    assert seen == [t.encode() for i, t in texts.items() if zlib.crc32(str(i).encode()) % 5]
+    x = np.frombuffer(texts[2].encode(), np.uint8)
+    tables = quality.Network().tables()
+    for piece in (1, 5, 1024):
+        _, top = quality.peaks(x, tables, piece)
+        assert np.allclose(np.concatenate([top.mean(0), top.max(0)]), quality.pooled(x, tables), atol=1e-6)
+
+
 def test_quality_pooling_covers_the_whole_text(spark):
     tables = quality.Network().tables()
     x = np.frombuffer(b"plain words " * 3000, np.uint8).copy()

@@ -2,8 +2,8 @@
 
 Learned filters run over every position of a text; their largest responses in overlapping chunks, which cover the whole
 text, are pooled over the chunks (mean and maximum) and combined into one probability. The network is fitted on a bounded
-sample of labelled rows: SAMPLE rows with the smallest hashes of their ids, and of each at most WINDOW bytes at a
-place given by that hash. Scores always take whole texts, and nothing but texts.
+sample of labelled rows: SAMPLE rows with the smallest hashes of their ids. Fit and scores take whole texts, and nothing
+but texts; the driver holds the texts of the sample.
 
 Cases: a null or empty text has no response anywhere and gets the score of the network's constant part; texts of any length
 are scored whole; repeated rows get equal scores; an empty table gives an empty table; without labelled rows every score is
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .textbytes import string_bytes
 
-SAMPLE, WINDOW = 3000, 8192
+SAMPLE = 3000
 FILTERS, WIDTH = 16, 4
 #: Positions of a block; blocks of a chunk, of which the next chunk repeats the last one.
 BLOCK, CHUNK = 32, 8
@@ -79,6 +79,20 @@ def pooled(x: np.ndarray, tables, piece: int = 1 << 18) -> np.ndarray:
     return np.concatenate([top.mean(0), top.max(0)])
 
 
+def peaks(x: np.ndarray, tables, piece: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+    """Place and size of each filter's largest response in each chunk, in pieces of so many chunks, so that memory stays bounded."""
+    ends = chunk_bounds(-(-len(x) // BLOCK)).reshape(-1, 2) * BLOCK
+    at, top = [], []
+    for k in range(0, len(ends), piece):
+        some = ends[k : k + piece]
+        first, last = int(some[0, 0]), min(int(some[-1, 1]), len(x))
+        z = np.maximum(responses(x[first : last + WIDTH - 1], tables)[: last - first], 0)
+        place = np.stack([a - first + z[a - first : b - first].argmax(0) for a, b in some.tolist()])
+        at.append(place + first)
+        top.append(np.take_along_axis(z, place, 0))
+    return np.concatenate(at), np.concatenate(top)
+
+
 def fit(texts: list[bytes], labels: list[int], seed: int = 7) -> Network:
     """Gradient descent (Adam) on the log loss; gradients flow to the positions of the largest responses."""
     net, rng = Network(seed), np.random.default_rng(seed)
@@ -97,11 +111,7 @@ def fit(texts: list[bytes], labels: list[int], seed: int = 7) -> Network:
             for i in some:
                 x = data[i]
                 if len(x):
-                    z = np.maximum(responses(x, tables), 0)
-                    nb = -(-len(x) // BLOCK)
-                    ends = chunk_bounds(nb).reshape(-1, 2) * BLOCK
-                    at = np.stack([a + z[a:b].argmax(0) for a, b in ends.tolist()])
-                    top = np.take_along_axis(z, at, 0)
+                    at, top = peaks(x, tables)
                     mean, best = top.mean(0), top.argmax(0)
                     f = np.concatenate([mean, top.max(0)])
                 else:
@@ -132,10 +142,8 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     chosen = labels.select(F.col(key), F.col(label).cast("int").alias("y")).filter(F.col(key).isNotNull() & F.col("y").isNotNull() & (fold(key) != 0))
     chosen = chosen.orderBy(F.xxhash64(key), key, "y").limit(SAMPLE)
     raw = F.encode(F.coalesce(text, F.lit("")), "UTF-8")
-    over = F.greatest(F.octet_length(raw) - WINDOW, F.lit(0))
-    place = F.pmod(F.xxhash64(key), F.lit(1 << 31)) * over / (1 << 31)
-    rows = docs.select(key, text).join(F.broadcast(chosen), key).select(key, "y", F.substring(raw, place.cast("int") + 1, F.lit(WINDOW)).alias("part"))
-    rows = sorted((r[key], r["y"], bytes(r["part"])) for r in rows.collect())
+    rows = docs.select(key, text).join(F.broadcast(chosen), key).select(key, "y", raw.alias("raw"))
+    rows = sorted((r[key], r["y"], bytes(r["raw"])) for r in rows.collect())
     return fit([r[2] for r in rows], [r[1] for r in rows])
 
 
