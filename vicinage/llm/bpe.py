@@ -1,61 +1,81 @@
 """Byte-level BPE: ids of texts and texts of ids, with the merges folded by Spark's higher-order functions.
 
-A task deals the words of a block of documents (each match of the tokenizer's pattern) into the block's distinct words and
-one index per occurrence. The distinct words are encoded by a fold over byte arrays: the pair of lowest rank merges, leftmost
-first, until no pair has a rank. Ranks come from a literal map, cut into buckets so that a look-up is short. Bytes are
-written as characters of ISO-8859-1, which Spark joins and compares as strings. Words over LONG_WORD bytes, for which a fold
-would take quadratic time, are merged with a heap in the task; the ids are the same.
+A task numbers the distinct words (matches of the tokenizer's pattern) of its documents as they come, and passes each new word
+on once, as an array of its bytes' ids, beside the documents as word numbers. Higher-order functions fold the merges over that
+array: the pair of lowest rank merges, leftmost first, until no pair has a rank. A second step of the same task puts the
+words' ids in place of the numbers. Nothing is shuffled, and a row holds no more than one slab's new words.
+
+The rank map is a literal: of each pair of ids, the rank of the two together. It is a sparse table of rows (left ids) laid over
+one another where they do not collide (row displacement), so that a look-up is two array accesses, and the found
+cell names its row. Words that are one piece need no fold. Words over LONG_WORD bytes, over which a fold would take quadratic time,
+are merged with a heap in the task, in n log n steps; the ids are the same.
 
 Cases: a null or empty text has no ids; texts of any length are encoded whole; repeated rows give equal ids; an empty table
-gives an empty table; only the named columns are read, so extra columns cannot clash; a null list of ids decodes to null.
+gives an empty table; only the named columns are read, so extra columns cannot clash; a null key stays a null key; a null
+list of ids decodes to null.
 """
 
 from __future__ import annotations
 
-import base64
+import functools
 import heapq
-import json
-import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .encoding import encoded_slabs
-from .textbytes import SLAB_BYTES
+from .encoding import encoded_slabs, read_vocabulary
 
-#: Bytes of text whose words share one set of distinct words.
-BLOCK_BYTES = 16 << 20
 LONG_WORD = 512
-_BUCKETS = 1 << 16
-_NONE = 2**31 - 1
+#: Bytes of text whose new words travel in one row; distinct words that a task keeps before it starts anew.
+SLAB, WORDS = 1 << 20, 300_000
+#: Ids are below this; a rank is a cell's lower part, its row the upper.
+_ID = 1 << 16
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
-    """Ranks of a vocabulary file: a base64 piece and its rank on each line."""
-    with open(path, "rb") as lines:
-        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, filter(bytes.strip, lines))}
-
-
-def _bucket(piece: str) -> int:
-    return zlib.crc32(piece.encode()) & (_BUCKETS - 1)
+    """Ranks of a vocabulary file."""
+    return read_vocabulary(path)[0]
 
 
-def rank_map(ranks: dict[bytes, int]) -> Column:
-    """The literal rank map: for each bucket of a piece's crc32 a map of pieces to ranks."""
-    buckets: list[dict[str, int]] = [{} for _ in range(_BUCKETS)]
+@functools.lru_cache(maxsize=4)
+def pair_table(path: str) -> tuple[np.ndarray, np.ndarray]:
+    """(shift, cells): the rank of ids a, b together is cells[shift[a] + b] - a * _ID if that is in 0.._ID - 1; else they never merge."""
+    ranks = read_ranks(path)
+    if max(ranks.values()) + 1 >= _ID:
+        raise ValueError(f"vocabularies of {_ID - 1} pieces and more do not fit the table")
+    rows: dict[int, list[tuple[int, int]]] = {}
     for piece, rank in ranks.items():
-        text = piece.decode("latin-1")
-        buckets[_bucket(text)][text] = rank
-    return F.from_json(F.lit(json.dumps(buckets, separators=(",", ":"))), "array<map<string,int>>")
-
-
-def piece_list(ranks: dict[bytes, int]) -> Column:
-    """A literal array: at each rank (from 1) the piece and the rank's four little-endian bytes in hexadecimal."""
-    by_rank = {r: p for p, r in ranks.items()}
-    pieces = [{"p": by_rank.get(r, b"").decode("latin-1"), "h": r.to_bytes(4, "little").hex()} for r in range(max(by_rank) + 1)]
-    return F.from_json(F.lit(json.dumps(pieces, separators=(",", ":"))), "array<struct<p:string,h:string>>")
+        for i in range(1, len(piece)):
+            a, b = ranks.get(piece[:i]), ranks.get(piece[i:])
+            if a is not None and b is not None:
+                rows.setdefault(a, []).append((b, rank))
+    n, window = max(ranks.values()) + 1, 2048
+    free, shift, at, lowest = np.ones(2 * n + window, bool), np.zeros(n, np.int64), {}, 0
+    for a in sorted(rows, key=lambda a: (-len(rows[a]), a)):  # the longest rows first, each in the first place that it fits
+        columns = np.array([b for b, _ in rows[a]])
+        d = max(0, lowest - int(columns.min()))
+        while True:
+            while len(free) < d + n + window:
+                free = np.concatenate([free, np.ones(n, bool)])
+            fits = np.logical_and.reduce([free[d + b : d + b + window] for b in columns.tolist()])
+            if fits.any():
+                d += int(fits.argmax())
+                break
+            d += window
+        shift[a] = d
+        free[columns + d] = False
+        at |= {d + b: a * _ID + rank for b, rank in rows[a]}
+        if not free[lowest]:
+            lowest += int(free[lowest:].argmax())
+    cells = np.full(max(at) + 1, n * _ID, np.int64)
+    cells[list(at)] = list(at.values())
+    return shift, cells
+
+
+def _numbers(values: np.ndarray, kind: str) -> Column:
+    return F.split(F.lit(",".join(map(str, values.tolist()))), ",").cast(f"array<{kind}>")
 
 
 def _let(value: Column, body) -> Column:
@@ -63,41 +83,17 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _rank(buckets: Column, piece: Column) -> Column:
-    at = (F.crc32(piece.cast("binary")).bitwiseAND(F.lit(_BUCKETS - 1)) + 1).cast("int")
-    return F.element_at(F.element_at(buckets, at), piece)
+def fold_merges(ids: Column, shift: Column, cells: Column) -> Column:
+    """Ids of one word, given as its bytes' ids. Each step finds the lowest (rank, place) of all pairs, and merges there."""
 
+    def step(p: Column, _: Column) -> Column:
+        ranked = F.transform(p, lambda x, i: F.get(cells, F.get(shift, x) + F.get(p, i + 1)).bitwiseXOR(x.cast("long") * _ID) * _ID + i)
+        return _let(F.array_min(ranked), lambda least: F.when(least < _ID * _ID, _let((least % _ID).cast("int"), lambda k: merged(p, F.shiftright(least, 16).cast("int"), k))).otherwise(p))
 
-def fold_merges(word: Column, buckets: Column) -> Column:
-    """Ids of one word, given as ISO-8859-1 characters."""
-    rank = lambda p: F.coalesce(_rank(buckets, p), F.lit(_NONE))
-    none = F.array().cast("array<int>")
+    def merged(p: Column, new: Column, k: Column) -> Column:
+        return F.array_remove(F.transform(p, lambda x, i: F.when(i == k, new).when(i == k + 1, F.lit(-1)).otherwise(x)), F.lit(-1))
 
-    def merged(s: Column, k: Column) -> Column:
-        p, r = s["parts"], s["ranks"]
-        n = F.size(p)
-        return _let(
-            F.concat(F.element_at(p, k), F.element_at(p, k + 1)),
-            lambda both: F.struct(
-                F.concat(F.slice(p, F.lit(1), k - 1), F.array(both), F.slice(p, k + 2, n)).alias("parts"),
-                F.concat(
-                    F.slice(r, F.lit(1), F.greatest(k - 2, F.lit(0))),
-                    F.when(k > 1, F.array(rank(F.concat(F.element_at(p, k - 1), both)))).otherwise(none),
-                    F.when(k < n - 1, F.array(rank(F.concat(both, F.element_at(p, k + 2))))).otherwise(none),
-                    F.slice(r, k + 2, n),
-                ).alias("ranks"),
-            ),
-        )
-
-    def step(s: Column, _: Column) -> Column:
-        return _let(F.coalesce(F.array_min(s["ranks"]), F.lit(_NONE)), lambda least: F.when(least == _NONE, s).otherwise(_let(F.array_position(s["ranks"], least).cast("int"), lambda k: merged(s, k))))
-
-    def start(parts: Column) -> Column:
-        pairs = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: rank(F.concat(F.element_at(parts, i), F.element_at(parts, i + 1))))
-        return F.struct(parts.alias("parts"), pairs.alias("ranks"))
-
-    folded = _let(F.split(word, ""), lambda parts: F.aggregate(F.sequence(F.lit(1), F.size(parts) - 1), start(parts), step, lambda s: F.transform(s["parts"], lambda p: _rank(buckets, p))))
-    return _let(_rank(buckets, word), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(folded))
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(ids) - 1, F.lit(1))), ids, step)
 
 
 def merge_with_heap(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -125,71 +121,105 @@ def merge_with_heap(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class _Numbered(dict):
+    """Numbers of words in order of appearance; ``fresh`` lists those that are new since the last row."""
+
+    def __init__(self):
+        self.fresh = []
+
     def __missing__(self, word):
-        self[word] = n = len(self) + 1
+        self[word] = n = len(self)
+        self.fresh.append(word)
         return n
 
 
-def _blocks(df: DataFrame, key: str, text: str, pattern: str, ranks: dict[bytes, int]) -> DataFrame:
-    """A row for each block of documents: keys, per document the numbers of its words, and the distinct words: a word, or for a
-    long one its ids."""
+def _as_words(df: DataFrame, key: str, text: str, pattern: str, ranks: dict[bytes, int]) -> DataFrame:
+    """Per document its key and the numbers of its words (``numbers``, four bytes each), with the ``fresh`` words of a slab in
+    the slab's first row: bytes' ids, or for a word that needs no fold its ids. Numbers start anew in each ``epoch``."""
     kind = df.schema[key].dataType.simpleString()
+    of_byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+
+    def words_of(fresh: list[str]) -> pa.Array:
+        raw = [w.encode() for w in fresh]
+        ids = [[ranks[w]] if w in ranks else merge_with_heap(w, ranks) if len(w) > LONG_WORD else None for w in raw]
+        folded = [w if i is None else b"" for w, i in zip(raw, ids)]
+        ends = np.cumsum([0, *map(len, folded)]).astype(np.int32)
+        parts = pa.ListArray.from_arrays(pa.array(ends), pa.array(of_byte[np.frombuffer(b"".join(folded), np.uint8)]))
+        return pa.StructArray.from_arrays([parts, pa.array(ids, pa.list_(pa.int32()))], ["parts", "ids"])
 
     def run(batches):
         import regex
 
         find = regex.compile(pattern).findall
-        numbers, keys, flat, ends, size, key_type = _Numbered(), [], [], [0], 0, None
-
-        def block():
-            raw = [w.encode() for w in numbers]
-            words = pa.StructArray.from_arrays(
-                [pa.array([w.decode("latin-1") if len(w) <= LONG_WORD else None for w in raw], pa.string()), pa.array([None if len(w) <= LONG_WORD else merge_with_heap(w, ranks) for w in raw], pa.list_(pa.int32()))],
-                ["word", "ids"],
-            )
-            docs = pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), pa.array(np.concatenate([*flat, np.zeros(0, np.uint32)]).astype(np.int32)))
-            one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-            return pa.RecordBatch.from_arrays([one(pa.array(keys, key_type)), one(docs), one(words)], ["keys", "docs", "words"])
-
+        number, seen, epoch = _Numbered(), {}, 0
         for batch in batches:
-            key_type = batch.column(0).type
-            for row, found, at in encoded_slabs(batch.column(1), lambda piece: list(map(numbers.__getitem__, find(piece)))):
-                keys.extend(batch.column(0).slice(row, len(at) - 1).to_pylist())
-                flat.append(found)
-                ends.extend((at[1:] + ends[-1]).tolist())
-                size += SLAB_BYTES
-                if size >= BLOCK_BYTES:
-                    yield block()
-                    numbers, keys, flat, ends, size = _Numbered(), [], [], [0], 0
-        if keys:
-            yield block()
+            for row, numbers, at in encoded_slabs(batch.column(1), lambda piece: map(number.__getitem__, find(piece)), seen=seen, limit=SLAB):
+                n = len(at) - 1
+                fresh = pa.ListArray.from_arrays(pa.array([0, *[len(number.fresh)] * n], pa.int32()), words_of(number.fresh))
+                held = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((at * 4).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(numbers))])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, n), pa.array(np.full(n, epoch, np.int32)), held, fresh], ["key", "epoch", "numbers", "fresh"])
+                number.fresh = []
+                if len(number) > WORDS:
+                    number.clear()
+                    seen.clear()
+                    epoch += 1
 
-    return df.select(key, text).mapInArrow(run, f"keys array<{kind}>, docs array<array<int>>, words array<struct<word:string,ids:array<int>>>")
+    return df.select(key, text).mapInArrow(run, f"key {kind}, epoch int, numbers binary, fresh array<struct<parts:array<int>,ids:array<int>>>")
 
 
-def encode(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Key and ``ids`` of each row's text. ``path``: a file of ranks; ``pattern``: what is a word."""
-    ranks = read_ranks(path)
-    blocks = _blocks(df, key, text, pattern, ranks)
+def _as_ids(words: DataFrame, key: str, kind: str) -> DataFrame:
+    """Key and ids of each document, the words' ids in the place of their numbers. Rows of a task come in the order made."""
+
+    def run(batches):
+        epoch, flat, begin, size = -1, np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in batches:
+            of = batch.column(1).to_numpy()
+            for a, b in zip(*(lambda x: (x[:-1].tolist(), x[1:].tolist()))(np.flatnonzero(np.diff(of, prepend=-1, append=-1)))):
+                if of[a] != epoch:
+                    epoch, flat, begin, size = of[a], flat[:0], begin[:0], size[:0]
+                fresh = batch.column(3).slice(a, b - a).flatten()
+                many = np.asarray(fresh.value_lengths(), np.int64)
+                begin = np.concatenate([begin, len(flat) + np.cumsum(many) - many])
+                size, flat = np.concatenate([size, many]), np.concatenate([flat, np.asarray(fresh.flatten())])
+                held = batch.column(2).slice(a, b - a)
+                _, offsets, data = held.buffers()
+                at = np.frombuffer(offsets, np.int32, b - a + 1, held.offset * 4) // 4
+                number = np.frombuffer(data, np.int32)[at[0] : at[-1]] if at[-1] else np.zeros(0, np.int32)
+                count = size[number]
+                total = np.concatenate([[0], np.cumsum(count)])
+                ids = flat[np.repeat(begin[number] - total[:-1], count) + np.arange(total[-1])]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(total[at - at[0]].astype(np.int32)), pa.array(ids))], [key, "ids"])
+
+    return words.mapInArrow(run, f"`{key}` {kind}, ids array<int>")
 
-    def encoded(buckets: Column) -> Column:
-        distinct = F.transform("words", lambda w: F.when(w["word"].isNull(), w["ids"]).otherwise(fold_merges(w["word"], buckets)))
-        of_doc = lambda ids, d: F.flatten(F.transform(d, lambda i: F.element_at(ids, i)))
-        return _let(distinct, lambda ids: F.zip_with("keys", "docs", lambda k, d: F.struct(k.alias("key"), of_doc(ids, d).alias("ids"))))
 
-    rows = blocks.select(F.explode(_let(rank_map(ranks), encoded)).alias("row"))
-    return rows.select(F.col("row.key").alias(key), F.col("row.ids").alias("ids"))
+def encode(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Key and ``ids`` of each row's text. ``path``: a vocabulary file; ``pattern``: what is a word."""
+    words = _as_words(df, key, text, pattern, read_ranks(path))
+    shift, cells = pair_table(path)
+    fold = lambda s, c: F.transform("fresh", lambda w: F.when(w["ids"].isNotNull(), w["ids"]).otherwise(fold_merges(w["parts"], s, c)))
+    fresh = _let(_numbers(shift, "int"), lambda s: _let(_numbers(cells, "bigint"), lambda c: fold(s, c)))
+    return _as_ids(words.select("key", "epoch", "numbers", fresh.alias("fresh")), key, df.schema[key].dataType.simpleString())
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """Add ``out``: the bytes of the ids' pieces, one after the other."""
-    text = _let(piece_list(read_ranks(path)), lambda v: F.array_join(F.transform(F.col(ids), lambda i: F.element_at(v, i + 1)["p"]), ""))
-    return df.withColumn(out, F.encode(text, "ISO-8859-1"))
+    pieces = {rank: piece for piece, rank in read_ranks(path).items()}
+
+    @F.arrow_udf("binary")
+    def joined(lists: pa.Array) -> pa.Array:
+        values = lists.values.tolist() if lists.null_count == 0 and lists.offset == 0 else None
+        if values is None:
+            return pa.array([None if x is None else b"".join(map(pieces.__getitem__, x)) for x in lists.to_pylist()], pa.binary())
+        at = lists.offsets.tolist()
+        return pa.array([b"".join(map(pieces.__getitem__, values[a:b])) for a, b in zip(at, at[1:])], pa.binary())
+
+    return df.withColumn(out, joined(F.col(ids)))
 
 
-def little_endian(path: str, ids: Column) -> Column:
-    """The ids as unsigned 32-bit little-endian integers."""
-    return F.unhex(_let(piece_list(read_ranks(path)), lambda v: F.array_join(F.transform(ids, lambda i: F.element_at(v, i + 1)["h"]), "")))
+@F.arrow_udf("binary")
+def little_endian(lists: pa.Array) -> pa.Array:
+    """Lists of ids as unsigned 32-bit little-endian integers."""
+    return pa.array([None if x is None else np.array(x, "<u4").tobytes() for x in (s.values.to_numpy() if s.is_valid else None for s in lists)], pa.binary())
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -201,6 +231,6 @@ def query(spark, sf_dir: str) -> DataFrame:
     return decode(ids, path).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(little_endian(path, F.col("ids")), 256).alias("ids_sha256"),
+        F.sha2(little_endian("ids"), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )

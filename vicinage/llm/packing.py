@@ -103,14 +103,15 @@ def pack(lengths: list[int], capacity: int = CAPACITY, linear: int = LINEAR) ->
     return out, k + n
 
 
-def pack_documents(df: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text", end_id: int = 1, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+def pack_documents(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", end_id: int = 1, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """One row per piece: key, ``start`` and ``length`` in the document's ids, ``ids_crc32``, ``doc_tokens``,
     ``sequence_id`` and ``offset`` in the sequence; with ``with_ids`` also the ids."""
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches):
         part, made = TaskContext.get().partitionId(), 0
-        encode = encoder(ranks_path, pattern).encode_ordinary
+        encode, added = encoder(path, pattern)
+        seen = {}
         keys, held, total = [], [], 0
 
         def shard(key_type):
@@ -131,7 +132,7 @@ def pack_documents(df: DataFrame, ranks_path: str, pattern: str, key: str = "doc
         key_type = pa.int64()
         for batch in batches:
             key_type = batch.column(0).type
-            for row, ids, at in encoded_slabs(batch.column(1), encode):
+            for row, ids, at in encoded_slabs(batch.column(1), encode, added, seen):
                 keys.extend(batch.column(0).slice(row, len(at) - 1).to_pylist())
                 ids = ids.astype("<u4")
                 held.extend(np.append(ids[a:b], np.array(end_id, "<u4")) for a, b in zip(at[:-1].tolist(), at[1:].tolist()))
@@ -149,7 +150,7 @@ def pack_documents(df: DataFrame, ranks_path: str, pattern: str, key: str = "doc
 def packed(docs: DataFrame) -> DataFrame:
     import public_tokenizers
 
-    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -19,12 +19,14 @@ from .encoding import encoded_slabs, encoder
 BLOCK = 1024
 
 
-def token_lengths(df: DataFrame, ranks_path: str, pattern: str, text: str = "text") -> DataFrame:
-    """``n_tokens`` of each row's text."""
+def token_lengths(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
+    """``n_tokens`` of each row's text. ``path``: a vocabulary file, whose added tokens are one token each in a text."""
 
     def run(batches):
+        encode, added = encoder(path, pattern)
+        seen = {}
         for batch in batches:
-            for _, _, at in encoded_slabs(batch.column(0), encoder(ranks_path, pattern).encode_ordinary):
+            for _, _, at in encoded_slabs(batch.column(0), encode, added, seen):
                 yield pa.RecordBatch.from_arrays([pa.array(np.diff(at))], ["n_tokens"])
 
     return df.select(text).mapInArrow(run, "n_tokens long")
@@ -84,4 +86,4 @@ def query(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return length_histogram(token_lengths(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
+    return length_histogram(token_lengths(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN))
