@@ -216,10 +216,14 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
     return df.withColumn(out, joined(F.col(ids)))
 
 
-@F.arrow_udf("binary")
-def little_endian(lists: pa.Array) -> pa.Array:
+def little_endian(ids: Column) -> Column:
     """Lists of ids as unsigned 32-bit little-endian integers."""
-    return pa.array([None if x is None else np.array(x, "<u4").tobytes() for x in (s.values.to_numpy() if s.is_valid else None for s in lists)], pa.binary())
+
+    @F.arrow_udf("binary")
+    def packed(lists: pa.Array) -> pa.Array:
+        return pa.array([s.values.to_numpy().astype("<u4").tobytes() if s.is_valid else None for s in lists], pa.binary())
+
+    return packed(ids)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -231,6 +235,6 @@ def query(spark, sf_dir: str) -> DataFrame:
     return decode(ids, path).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(little_endian("ids"), 256).alias("ids_sha256"),
+        F.sha2(little_endian(F.col("ids")), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
