@@ -72,6 +72,23 @@ def test_pii_added_kinds_and_redaction(spark):
     assert pii.digest(frame(spark, [])).count() == 0
 
 
+def test_pii_of_many_matches_takes_linear_time(spark):
+    import time
+
+    pii.digest(frame(spark, [(1, "a@b.co")])).collect()
+    for text in ("a@b.co text " * 20_000, "1." * 150_000, "é a@b.co +49 (123) 456-7890 1.2.3.4 " * 3000):
+        began = time.perf_counter()
+        got = pii.digest(frame(spark, [(1, text)])).first()
+        spans = plain_spans(text)
+        assert got.base_sha256 == hashlib.sha256(",".join(f"{n}:{a}:{b}" for a, _, n, b in spans).encode()).hexdigest()
+        clean = pii.redact_pii(frame(spark, [(1, text)])).first().text
+        want, at = [], 0
+        for a, _, n, b in spans:
+            want.append(text[at:a] + f"[{n.upper()}]")
+            at = b
+        assert clean == "".join(want) + text[at:] and time.perf_counter() - began < 20
+
+
 # --- media
 
 
@@ -218,6 +235,27 @@ def test_bpe_equals_the_library(spark, documents):
     assert bpe.encode(frame(spark, []), path, pattern).count() == 0
 
 
+def test_bpe_of_words_of_any_length(spark, monkeypatch):
+    """Folded words and those merged with a heap, with a new start of the numbers after every slab."""
+    monkeypatch.setattr(bpe, "WORDS", 50)
+    monkeypatch.setattr(bpe, "SLAB", 4000)
+    monkeypatch.setattr(bpe, "STEP", 100)
+    path, pattern, library = tokenizer("byte_bpe_multi_50k.tiktoken")
+    random.seed(11)
+    rows = [(n, "".join(random.choice("etaoinbcé") for _ in range(n))) for n in [*range(1, 40), 100, 255, 511, 512, 513, 700, 2000]]
+    rows += [(3000 + n, "a" * n) for n in (2, 3, 7, 511, 512, 513, 1999)] + [(4000 + i, f" {w}" * 30) for i, (_, w) in enumerate(rows[:30])]
+    got = {r.doc_id: r for r in bpe.decode(bpe.encode(frame(spark, rows).coalesce(1), path, pattern), path).collect()}
+    for i, text in rows:
+        assert got[i].ids == library.encode_ordinary(text) and bytes(got[i].decoded) == text.encode()
+    for r in bpe.encode(frame(spark, rows).coalesce(1), path, pattern, as_bytes=True, decoded="again").collect():
+        assert np.frombuffer(r.ids, "<u4").tolist() == got[r.doc_id].ids and r.again == got[r.doc_id].decoded
+    odd = spark.createDataFrame([(None, "x y"), (1, None), (1, None)], EMPTY)
+    assert sorted((r.doc_id or 0, len(r.ids)) for r in bpe.encode(odd, path, pattern).collect()) == [(0, 2), (1, 0), (1, 0)]
+    lists = spark.createDataFrame([(None,), ([],), ([5, 6],)], "ids array<int>")
+    ranks = {r: p for p, r in bpe.read_ranks(path).items()}
+    assert [r.decoded for r in bpe.decode(lists, path).collect()] == [None, b"", ranks[5] + ranks[6]]
+
+
 def test_pieces_give_the_library_ids(documents):
     import pyarrow as pa
 
@@ -227,22 +265,22 @@ def test_pieces_give_the_library_ids(documents):
     assert out == [library.encode_ordinary(t or "") for t in texts]
 
 
-def test_pieces_give_the_ids_of_the_tokenizers_file():
+def test_pieces_give_the_ids_of_the_tokenizers_file(documents):
     import public_tokenizers as P
     import pyarrow as pa
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True  # as the vocabularies' README has it
     end = "<|endoftext|>"
-    texts = [f"{end}a", f"a{end}", f"a {end} b", f"a  {end}{end}  b", f" {end} ", f"é{end}\n{end}", end, "it's 1234 <|endoftext| >"]
-    library = tokenizer("byte_bpe_50k.tiktoken")[2]
-    out = [ids[a:b].tolist() for _, ids, at in encoding.encoded_slabs(pa.array(texts), library.encode_ordinary) for a, b in zip(at[:-1], at[1:])]
-    assert out == [x.ids for x in t.encode_batch(texts, add_special_tokens=False)]
+    texts = [f"{end}a", f"a{end}", f"a {end} b", f"a  {end}{end}  b", f" {end} ", f"é{end}\n{end}", end, "it's 1234 <|endoftext| >", "x <|endof", "text|> y", f"x\n {end}  z"] + [t or "" for _, t in documents[:80]]
+    encode, added = encoding.encoder(P.path("byte_bpe_50k.json"), P.PATTERN)
+    out = [ids[a:b].tolist() for _, ids, at in encoding.encoded_slabs(pa.array(texts), encode, added) for a, b in zip(at[:-1], at[1:])]
+    assert out == [x.ids for x in t.encode_batch(texts, add_special_tokens=False)] and out[0][0] == 50256
 
 
 def test_histogram_answers_every_limit(spark, documents):
     path, pattern, library = tokenizer("byte_bpe_50k.tiktoken")
+    path = path.replace(".tiktoken", ".json")
     rows = documents[:80] + ODD
     lengths = [len(library.encode_ordinary(t or "")) for _, t in rows]
     h = token_counts.length_histogram(token_counts.token_lengths(frame(spark, rows), path, pattern))
@@ -257,15 +295,18 @@ def test_histogram_answers_every_limit(spark, documents):
 
 
 def test_packing_covers_every_id_once(spark, documents):
-    _, _, library = tokenizer("byte_bpe_50k.tiktoken")
-    rows = documents + [(10_000 + i, t) for i, t in ODD]
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    rows = documents + [(10_000 + i, t) for i, t in ODD] + [(20_000, "x <|endoftext|> y"), (20_001, "<|endoftext|>"), (20_002, "of<|endoftext|><|endoftext|>  z")]
     pieces = packing.packed(frame(spark, rows)).collect()
     by_doc, by_sequence = collections.defaultdict(list), collections.defaultdict(list)
     for p in pieces:
         by_doc[p.doc_id].append(p)
         by_sequence[p.sequence_id].append(p)
     for i, text in rows:
-        ids, at = [*library.encode_ordinary(text or ""), 1], 0
+        ids, at = [*library.encode(text or "", add_special_tokens=False).ids, 1], 0
         for p in sorted(by_doc[i], key=lambda p: p.start):
             assert p.start == at and p.doc_tokens == len(ids)
             assert p.ids_crc32 == zlib.crc32(struct.pack(f"<{p.length}I", *ids[at : at + p.length]))

@@ -19,19 +19,23 @@ from __future__ import annotations
 
 import functools
 import heapq
+import itertools
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .encoding import encoded_slabs, read_vocabulary
 
 LONG_WORD = 512
-#: Bytes of text whose new words travel in one row; distinct words that a task keeps before it starts anew.
-SLAB, WORDS = 1 << 20, 300_000
+#: Bytes of text whose new words travel in one row; distinct words that a task keeps before it starts anew; words turned into ids at once.
+SLAB, WORDS, STEP = 1 << 20, 500_000, 1 << 18
 #: Ids are below this; a rank is a cell's lower part, its row the upper.
 _ID = 1 << 16
+#: Places in a folded word are below this.
+_PLACE = 1 << 10
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -69,9 +73,9 @@ def pair_table(path: str) -> tuple[np.ndarray, np.ndarray]:
         at |= {d + b: a * _ID + rank for b, rank in rows[a]}
         if not free[lowest]:
             lowest += int(free[lowest:].argmax())
-    cells = np.full(max(at) + 1, n * _ID, np.int64)
+    cells = np.full(int(shift.max()) + n + 1, n * _ID, np.int64)
     cells[list(at)] = list(at.values())
-    return shift, cells
+    return np.append(shift, 0), cells  # id n stands for the end of a word and never merges
 
 
 def _numbers(values: np.ndarray, kind: str) -> Column:
@@ -83,17 +87,39 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def fold_merges(ids: Column, shift: Column, cells: Column) -> Column:
-    """Ids of one word, given as its bytes' ids. Each step finds the lowest (rank, place) of all pairs, and merges there."""
+def fold_merges(ids: Column, shift: Column, cells: Column, end: int) -> Column:
+    """Ids of one word of at most LONG_WORD bytes, given as its bytes' ids and the id ``end`` after them.
 
-    def step(p: Column, _: Column) -> Column:
-        ranked = F.transform(p, lambda x, i: F.get(cells, F.get(shift, x) + F.get(p, i + 1)).bitwiseXOR(x.cast("long") * _ID) * _ID + i)
-        return _let(F.array_min(ranked), lambda least: F.when(least < _ID * _ID, _let((least % _ID).cast("int"), lambda k: merged(p, F.shiftright(least, 16).cast("int"), k))).otherwise(p))
+    The state is one array of numbers: of each piece its rank together with the next one (or more than any rank), the place of its
+    first byte, and its id. So the least number is the pair to merge, leftmost of equal ranks; a merge changes two numbers and
+    removes one.
+    """
 
-    def merged(p: Column, new: Column, k: Column) -> Column:
-        return F.array_remove(F.transform(p, lambda x, i: F.when(i == k, new).when(i == k + 1, F.lit(-1)).otherwise(x)), F.lit(-1))
+    def number(a: Column, b: Column, place: Column) -> Column:
+        rank = F.get(cells, F.get(shift, a) + b).bitwiseXOR(a.cast("long") * _ID)
+        return (rank * _PLACE + place) * _ID + a
 
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(ids) - 1, F.lit(1))), ids, step)
+    def id_of(x: Column) -> Column:
+        return x.bitwiseAND(F.lit(_ID - 1)).cast("int")
+
+    def place_of(x: Column) -> Column:
+        return F.shiftright(x, 16).bitwiseAND(F.lit(_PLACE - 1))
+
+    def merged(state: Column, least: Column, k: Column) -> Column:
+        """``k``: place of the least number, from 0."""
+        both = F.shiftright(least, 26).cast("int")
+        here = lambda: number(both, id_of(F.get(state, k + 2)), place_of(least))
+        before = lambda x: number(id_of(x), both, place_of(x))
+        kept = F.transform(state, lambda x, i: F.when(i > k + 1, x).when(i < k - 1, x).when(i == k, here()).when(i < k, before(x)).otherwise(-1))
+        return F.array_remove(kept, F.lit(-1).cast("long"))
+
+    def step(state: Column, _: Column) -> Column:
+        found = lambda least: _let(F.array_position(state, least).cast("int") - 1, lambda k: merged(state, least, k))
+        return _let(F.array_min(state), lambda least: F.when(least < _ID * _ID * _PLACE, found(least)).otherwise(state))
+
+    start = F.transform(ids, lambda x, i: number(x, F.coalesce(F.get(ids, i + 1), F.lit(end)), i))
+    steps = F.sequence(F.lit(1), F.greatest(F.size(ids) - 2, F.lit(1)))
+    return F.array_remove(F.aggregate(steps, start, step, lambda state: F.transform(state, id_of)), F.lit(end))
 
 
 def merge_with_heap(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -132,7 +158,7 @@ class _Numbered(dict):
         return n
 
 
-def _as_words(df: DataFrame, key: str, text: str, pattern: str, ranks: dict[bytes, int]) -> DataFrame:
+def _as_words(df: DataFrame, key: str, text: str, pattern: str, ranks: dict[bytes, int], end: int) -> DataFrame:
     """Per document its key and the numbers of its words (``numbers``, four bytes each), with the ``fresh`` words of a slab in
     the slab's first row: bytes' ids, or for a word that needs no fold its ids. Numbers start anew in each ``epoch``."""
     kind = df.schema[key].dataType.simpleString()
@@ -142,8 +168,9 @@ def _as_words(df: DataFrame, key: str, text: str, pattern: str, ranks: dict[byte
         raw = [w.encode() for w in fresh]
         ids = [[ranks[w]] if w in ranks else merge_with_heap(w, ranks) if len(w) > LONG_WORD else None for w in raw]
         folded = [w if i is None else b"" for w, i in zip(raw, ids)]
-        ends = np.cumsum([0, *map(len, folded)]).astype(np.int32)
-        parts = pa.ListArray.from_arrays(pa.array(ends), pa.array(of_byte[np.frombuffer(b"".join(folded), np.uint8)]))
+        ends = np.cumsum([0, *map(len, folded)])
+        parts = np.insert(of_byte[np.frombuffer(b"".join(folded), np.uint8)], ends[1:], end)  # the end after each word
+        parts = pa.ListArray.from_arrays(pa.array((ends + np.arange(len(ends))).astype(np.int32)), pa.array(parts))
         return pa.StructArray.from_arrays([parts, pa.array(ids, pa.list_(pa.int32()))], ["parts", "ids"])
 
     def run(batches):
@@ -151,8 +178,13 @@ def _as_words(df: DataFrame, key: str, text: str, pattern: str, ranks: dict[byte
 
         find = regex.compile(pattern).findall
         number, seen, epoch = _Numbered(), {}, 0
+
+        def numbers_of(piece: str):
+            plain = piece.isascii() and (piece[1:] if piece[0] == " " else piece).isalpha()  # one word, without a search
+            return (number[piece],) if plain else map(number.__getitem__, find(piece))
+
         for batch in batches:
-            for row, numbers, at in encoded_slabs(batch.column(1), lambda piece: map(number.__getitem__, find(piece)), seen=seen, limit=SLAB):
+            for row, numbers, at in encoded_slabs(batch.column(1), numbers_of, seen=seen, limit=SLAB):
                 n = len(at) - 1
                 fresh = pa.ListArray.from_arrays(pa.array([0, *[len(number.fresh)] * n], pa.int32()), words_of(number.fresh))
                 held = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((at * 4).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(numbers))])
@@ -166,75 +198,86 @@ def _as_words(df: DataFrame, key: str, text: str, pattern: str, ranks: dict[byte
     return df.select(key, text).mapInArrow(run, f"key {kind}, epoch int, numbers binary, fresh array<struct<parts:array<int>,ids:array<int>>>")
 
 
-def _as_ids(words: DataFrame, key: str, kind: str) -> DataFrame:
+def _joined(ids: np.ndarray, at: list[int], pieces: list[bytes]) -> pa.Array:
+    """The pieces of each list of ids, one after the other."""
+    return pa.array([b"".join(map(pieces.__getitem__, ids[a:b].tolist())) for a, b in zip(at, at[1:])], pa.binary())
+
+
+def _pieces(path: str) -> list[bytes]:
+    by_rank = {rank: piece for piece, rank in read_ranks(path).items()}
+    return [by_rank.get(r, b"") for r in range(max(by_rank) + 1)]
+
+
+def _as_ids(words: DataFrame, key: str, kind: str, as_bytes: bool, decoded: str | None, pieces: list[bytes]) -> DataFrame:
     """Key and ids of each document, the words' ids in the place of their numbers. Rows of a task come in the order made."""
 
+    def lists(ends: np.ndarray, ids: np.ndarray) -> pa.Array:
+        if as_bytes:
+            return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends * np.int32(4)), pa.py_buffer(ids.astype("<u4"))])
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))
+
+    names = [key, "ids"] + ([decoded] if decoded else [])
+
     def run(batches):
         epoch, flat, begin, size = -1, np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
-            of = batch.column(1).to_numpy()
-            for a, b in zip(*(lambda x: (x[:-1].tolist(), x[1:].tolist()))(np.flatnonzero(np.diff(of, prepend=-1, append=-1)))):
+            of, (_, offsets, data) = batch.column(1).to_numpy(), batch.column(2).buffers()
+            at = np.frombuffer(offsets, np.int32, len(of) + 1, batch.column(2).offset * 4) // 4
+            numbers = np.frombuffer(data, np.int32) if at[-1] else np.zeros(0, np.int32)
+            cuts = {0, len(of), *(np.flatnonzero(np.diff(of)) + 1).tolist(), *np.searchsorted(at, range(at[0] + STEP, at[-1], STEP)).tolist()}
+            for a, b in itertools.pairwise(sorted(cuts)):  # rows of one epoch, of about STEP words
                 if of[a] != epoch:
                     epoch, flat, begin, size = of[a], flat[:0], begin[:0], size[:0]
                 fresh = batch.column(3).slice(a, b - a).flatten()
                 many = np.asarray(fresh.value_lengths(), np.int64)
                 begin = np.concatenate([begin, len(flat) + np.cumsum(many) - many])
                 size, flat = np.concatenate([size, many]), np.concatenate([flat, np.asarray(fresh.flatten())])
-                held = batch.column(2).slice(a, b - a)
-                _, offsets, data = held.buffers()
-                at = np.frombuffer(offsets, np.int32, b - a + 1, held.offset * 4) // 4
-                number = np.frombuffer(data, np.int32)[at[0] : at[-1]] if at[-1] else np.zeros(0, np.int32)
+                number = numbers[at[a] : at[b]]
                 count = size[number]
                 total = np.concatenate([[0], np.cumsum(count)])
                 ids = flat[np.repeat(begin[number] - total[:-1], count) + np.arange(total[-1])]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(total[at - at[0]].astype(np.int32)), pa.array(ids))], [key, "ids"])
+                ends = total[at[a : b + 1] - at[a]].astype(np.int32)
+                made = [batch.column(0).slice(a, b - a), lists(ends, ids)]
+                yield pa.RecordBatch.from_arrays(made + ([_joined(ids, ends.tolist(), pieces)] if decoded else []), names)
 
-    return words.mapInArrow(run, f"`{key}` {kind}, ids array<int>")
+    return words.mapInArrow(run, f"`{key}` {kind}, ids {'binary' if as_bytes else 'array<int>'}" + (f", `{decoded}` binary" if decoded else ""))
 
 
-def encode(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Key and ``ids`` of each row's text. ``path``: a vocabulary file; ``pattern``: what is a word."""
-    words = _as_words(df, key, text, pattern, read_ranks(path))
+def encode(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", as_bytes: bool = False, decoded: str | None = None) -> DataFrame:
+    """Key and ``ids`` of each row's text. ``path``: a vocabulary file; ``pattern``: what is a word; ``as_bytes``: ids as unsigned
+    32-bit little-endian integers in one binary, not as an array; ``decoded``: the name of a further column, of the bytes that
+    the ids decode to."""
+    ranks = read_ranks(path)
     shift, cells = pair_table(path)
-    fold = lambda s, c: F.transform("fresh", lambda w: F.when(w["ids"].isNotNull(), w["ids"]).otherwise(fold_merges(w["parts"], s, c)))
+    end = len(shift) - 1
+    words = _as_words(df, key, text, pattern, ranks, end)
+    fold = lambda s, c: F.transform("fresh", lambda w: F.when(w["ids"].isNotNull(), w["ids"]).otherwise(fold_merges(w["parts"], s, c, end)))
     fresh = _let(_numbers(shift, "int"), lambda s: _let(_numbers(cells, "bigint"), lambda c: fold(s, c)))
-    return _as_ids(words.select("key", "epoch", "numbers", fresh.alias("fresh")), key, df.schema[key].dataType.simpleString())
+    return _as_ids(words.select("key", "epoch", "numbers", fresh.alias("fresh")), key, df.schema[key].dataType.simpleString(), as_bytes, decoded, _pieces(path))
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """Add ``out``: the bytes of the ids' pieces, one after the other."""
-    pieces = {rank: piece for piece, rank in read_ranks(path).items()}
+    pieces = _pieces(path)
 
     @F.arrow_udf("binary")
     def joined(lists: pa.Array) -> pa.Array:
-        values = lists.values.tolist() if lists.null_count == 0 and lists.offset == 0 else None
-        if values is None:
-            return pa.array([None if x is None else b"".join(map(pieces.__getitem__, x)) for x in lists.to_pylist()], pa.binary())
-        at = lists.offsets.tolist()
-        return pa.array([b"".join(map(pieces.__getitem__, values[a:b])) for a, b in zip(at, at[1:])], pa.binary())
+        ends = np.cumsum([0, *(n or 0 for n in lists.value_lengths().to_pylist())])
+        made = _joined(lists.flatten().to_numpy(), ends.tolist(), pieces)
+        return pc.if_else(lists.is_valid(), made, pa.scalar(None, pa.binary()))
 
     return df.withColumn(out, joined(F.col(ids)))
 
 
-def little_endian(ids: Column) -> Column:
-    """Lists of ids as unsigned 32-bit little-endian integers."""
-
-    @F.arrow_udf("binary")
-    def packed(lists: pa.Array) -> pa.Array:
-        return pa.array([s.values.to_numpy().astype("<u4").tobytes() if s.is_valid else None for s in lists], pa.binary())
-
-    return packed(ids)
-
-
 def query(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    ids = encode(docs, path, public_tokenizers.PATTERN)
-    return decode(ids, path).select(
+    ids = encode(docs, path, public_tokenizers.PATTERN, as_bytes=True, decoded="decoded")
+    return ids.select(
         "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(little_endian(F.col("ids")), 256).alias("ids_sha256"),
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
