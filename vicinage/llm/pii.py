@@ -83,48 +83,50 @@ def confirmed(kind: str, text: Column) -> Column:
     return F.lit(True)
 
 
-def _running_starts(gaps: Column, found: Column) -> Column:
-    """Start of each match (0-based): sums of all gaps and matches before it, in blocks so that long lists stay cheap."""
-    n, block = F.size(found), 256
-    steps = F.zip_with(found, F.slice(gaps, F.lit(1), n), lambda m, g: F.struct(F.length(g).alias("g"), F.length(m).alias("m")))
-    empty = F.array().cast("array<int>")
+def _let(value: Column, body) -> Column:
+    """body(value), with value computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _running(values: Column, add) -> Column:
+    """Running results of ``add`` over an array of ints, from its first element on. Elements are taken in blocks, then blocks'
+    results are carried on, so that no long array is built up element by element."""
+    n, block = F.size(values), 256
 
     def inner(k: Column) -> Column:
-        return F.aggregate(
-            F.slice(steps, k * block + 1, F.lit(block)),
-            F.struct(F.lit(0).alias("at"), empty.alias("out")),
-            lambda a, x: F.struct((a["at"] + x["g"] + x["m"]).alias("at"), F.concat(a["out"], F.array(a["at"] + x["g"])).alias("out")),
-        )
+        some = F.slice(values, k * block + 1, F.lit(block))
+        return F.aggregate(F.slice(some, F.lit(2), F.lit(block)), F.slice(some, F.lit(1), F.lit(1)), lambda out, x: F.concat(out, F.array(add(F.element_at(out, -1), x))))
 
-    def outer(a: Column, b: Column) -> Column:
-        return F.struct((a["at"] + b["at"]).alias("at"), F.concat(a["out"], F.array(F.transform(b["out"], lambda x: x + a["at"]))).alias("out"))
+    def carried(blocks: Column) -> Column:
+        last = F.aggregate(blocks, F.array().cast("array<int>"), lambda out, b: F.concat(out, F.array(F.when(F.size(out) == 0, F.element_at(b, -1)).otherwise(add(F.try_element_at(out, F.lit(-1)), F.element_at(b, -1))))))
+        return _let(last, lambda t: F.flatten(F.transform(blocks, lambda b, j: F.when(j == 0, b).otherwise(F.transform(b, lambda x: add(F.get(t, j - 1), x))))))
 
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / block).cast("int")), inner)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<int>>").alias("out"))
-    return F.when(n > 0, F.flatten(F.aggregate(blocks, start, outer)["out"])).otherwise(empty)
+    return F.when(n > 0, _let(F.transform(F.sequence(F.lit(0), F.floor((n - 1) / block).cast("int")), inner), carried)).otherwise(F.array().cast("array<int>"))
 
 
 def _spans(kind: str, text: Column, found: Column) -> Column:
-    gaps = F.split(text, PATTERNS[kind], -1)
-    starts = _running_starts(gaps, found)
     order, is_base = KINDS.index(kind), kind in BASE_KINDS
 
-    def one(m: Column, k: Column) -> Column:
-        before = F.right(F.element_at(gaps, k + 1), F.lit(CONTEXT_CHARS))
-        after = F.left(F.element_at(gaps, k + 2), F.lit(CONTEXT_CHARS))
+    def between(gaps: Column) -> Column:
+        """All matches, from the texts between them: each step is a gap and its match."""
+        steps = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda m, g: F.length(g) + F.length(m))
+        return _let(steps, lambda step: _let(_running(step, lambda a, b: a + b), lambda ends: F.transform(found, lambda m, k: one(m, k, gaps, ends))))
+
+    def one(m: Column, k: Column, gaps: Column, ends: Column) -> Column:
+        before = F.right(F.get(gaps, k), F.lit(CONTEXT_CHARS))
+        after = F.left(F.get(gaps, k + 1), F.lit(CONTEXT_CHARS))
         near = F.lower(before).rlike(CONTEXT[kind]) | F.lower(after).rlike(CONTEXT[kind])
-        at = F.element_at(starts, k + 1)
+        end = F.get(ends, k)
         return F.struct(
-            at.alias("start"),
+            (end - F.length(m)).alias("start"),
             F.lit(order).alias("order"),
             F.lit(kind).alias("kind"),
-            (at + F.length(m)).alias("end"),
+            end.alias("end"),
             (F.lit(BASE_SCORE[kind]) + F.when(near, CONTEXT_BOOST).otherwise(0.0)).alias("score"),
             F.when(confirmed(kind, m), m).alias("text"),
         )
 
-    spans = F.transform(found, one)
-    return F.filter(spans, lambda s: s["text"].isNotNull() & (F.lit(is_base) | (s["score"] >= MIN_SCORE)))
+    return F.filter(_let(F.split(text, PATTERNS[kind], -1), between), lambda s: s["text"].isNotNull() & (F.lit(is_base) | (s["score"] >= MIN_SCORE)))
 
 
 _SPAN = "array<struct<start:int,order:int,kind:string,end:int,score:double,text:string>>"
@@ -149,33 +151,38 @@ def find_pii(df: DataFrame, text: str = "text", out: str = "pii_spans") -> DataF
     return found.select(*[F.col(f"`{c}`") for c in kept], F.sort_array(F.concat(*parts)).alias(out))
 
 
+def _cut(text: Column, spans: Column) -> Column:
+    """The text with each span (sorted by start) replaced by its kind. Overlapping spans go together, as one of the first's kind."""
+    size = 2048  # the text in chunks, so that a place in it is found without counting from its start
+
+    def between(chunks: Column, a: Column, b: Column) -> Column:
+        """Characters a to b."""
+        i, j = F.floor(a / size).cast("int"), F.floor(b / size).cast("int")
+        first, last = F.coalesce(F.get(chunks, i), F.lit("")), F.coalesce(F.get(chunks, j), F.lit(""))
+        whole = F.array_join(F.slice(chunks, i + 2, j - i - 1), "")
+        return F.when(i == j, F.substring(first, a - i * size + 1, b - a)).otherwise(F.concat(F.substring(first, a - i * size + 1, F.lit(size)), whole, F.substring(last, F.lit(1), b - j * size)))
+
+    def replaced(chunks: Column, s: Column, reach: Column) -> Column:
+        heads = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i)["start"] >= F.get(reach, i - 1)))
+        return _let(heads, lambda h: F.concat(F.array_join(F.transform(h, lambda i, j: piece(chunks, s, reach, i)), ""), between(chunks, F.element_at(reach, -1), F.length(text))))
+
+    def piece(chunks: Column, s: Column, reach: Column, i: Column) -> Column:
+        return F.concat(between(chunks, F.when(i == 0, 0).otherwise(F.get(reach, i - 1)), F.get(s, i)["start"]), F.lit("["), F.upper(F.get(s, i)["kind"]), F.lit("]"))
+
+    def body(s: Column) -> Column:
+        ends = F.transform(s, lambda x: x["end"])
+        chunks = F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % size), F.lit(0))
+        return _let(chunks, lambda c: _let(ends, lambda e: _let(_running(e, F.greatest), lambda reach: replaced(c, s, reach))))
+
+    return F.when(F.size(spans) > 0, _let(spans, body)).otherwise(text)
+
+
 def redact_pii(df: DataFrame, text: str = "text") -> DataFrame:
     """Replace every span in ``text`` by its kind in brackets. Of spans that overlap, the one that starts first stays
-    (of equal starts the longest), and what a dropped one has beyond its end goes too, so that no part is left."""
+    (of equal starts the first kind of ``KINDS``), and what a dropped one has beyond its end goes too, so that no part is left."""
     spans = "__pii"
     found = find_pii(df, text, spans)
-    s = F.col(spans)
-    empty = F.array().cast("array<struct<start:int,end:int,kind:string>>")
-
-    def merge(a: Column, x: Column) -> Column:
-        last = F.element_at(a, -1)
-        new = F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))
-        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"), last["kind"].alias("kind"))
-        head = F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))
-        return F.when((F.size(a) > 0) & (x["start"] < F.when(F.size(a) > 0, last["end"]).otherwise(0)), F.concat(head, F.array(longer))).otherwise(F.concat(a, F.array(new)))
-
-    merged = found.withColumn(spans, F.aggregate(s, empty, lambda a, x: F.when(F.size(a) == 0, F.array(F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind")))).otherwise(merge(a, x))))
-    n = F.size(s)
-    pieces = F.transform(
-        s,
-        lambda x, k: F.concat(
-            F.substring(F.col(text), F.when(k == 0, 0).otherwise(F.try_element_at(s, k)["end"]) + 1, x["start"] - F.when(k == 0, 0).otherwise(F.try_element_at(s, k)["end"])),
-            F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]")),
-        ),
-    )
-    tail = F.substring(F.col(text), F.try_element_at(s, F.lit(-1))["end"] + 1, F.length(text))
-    clean = F.when(n > 0, F.concat(F.array_join(pieces, ""), tail)).otherwise(F.col(text))
-    return merged.select(*[clean.alias(c) if c == text else F.col(f"`{c}`") for c in df.columns])
+    return found.select(*[(_cut(F.col(f"`{c}`"), F.col(spans)).alias(c) if c == text else F.col(f"`{c}`")) for c in df.columns])
 
 
 def digest(df: DataFrame) -> DataFrame:
