@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .encoding import encoded_slabs, read_vocabulary
+from .encoding import SeenPieces, encoded_slabs, read_vocabulary
 
 LONG_WORD = 512
 #: Bytes of text whose new words travel in one row; distinct words that a task keeps before it starts anew; words turned into ids at once.
@@ -102,20 +102,25 @@ def fold_merges(ids: Column, shift: Column, cells: Column, end: int) -> Column:
     def id_of(x: Column) -> Column:
         return x.bitwiseAND(F.lit(_ID - 1)).cast("int")
 
+    def rank_of(x: Column) -> Column:
+        return F.shiftright(x, 26).cast("int")
+
     def place_of(x: Column) -> Column:
         return F.shiftright(x, 16).bitwiseAND(F.lit(_PLACE - 1))
 
-    def merged(state: Column, least: Column, k: Column) -> Column:
-        """``k``: place of the least number, from 0."""
-        both = F.shiftright(least, 26).cast("int")
-        here = lambda: number(both, id_of(F.get(state, k + 2)), place_of(least))
-        before = lambda x: number(id_of(x), both, place_of(x))
-        kept = F.transform(state, lambda x, i: F.when(i > k + 1, x).when(i < k - 1, x).when(i == k, here()).when(i < k, before(x)).otherwise(-1))
-        return F.array_remove(kept, F.lit(-1).cast("long"))
+    def merged(state: Column, p: Column) -> Column:
+        """``p``: place of the least number, from 1; the one after it is number p of those from 0."""
+
+        def changed(x: Column, i: Column) -> Column:
+            here = number(rank_of(x), id_of(F.get(state, p + 1)), place_of(x))
+            before = number(id_of(x), rank_of(F.get(state, p - 1)), place_of(x))
+            return F.when(i > p, x).when(i + 2 < p, x).when(i == p, F.lit(-1).cast("long")).when(i + 1 == p, here).otherwise(before)
+
+        return F.array_remove(F.transform(state, changed), F.lit(-1).cast("long"))
 
     def step(state: Column, _: Column) -> Column:
-        found = lambda least: _let(F.array_position(state, least).cast("int") - 1, lambda k: merged(state, least, k))
-        return _let(F.array_min(state), lambda least: F.when(least < _ID * _ID * _PLACE, found(least)).otherwise(state))
+        found = _let(F.array_position(state, F.array_min(state)).cast("int"), lambda p: merged(state, p))
+        return F.when(F.array_min(state) < _ID * _ID * _PLACE, found).otherwise(state)
 
     start = F.transform(ids, lambda x, i: number(x, F.coalesce(F.get(ids, i + 1), F.lit(end)), i))
     steps = F.sequence(F.lit(1), F.greatest(F.size(ids) - 2, F.lit(1)))
@@ -177,7 +182,7 @@ def _as_words(df: DataFrame, key: str, text: str, pattern: str, ranks: dict[byte
         import regex
 
         find = regex.compile(pattern).findall
-        number, seen, epoch = _Numbered(), {}, 0
+        number, seen, epoch = _Numbered(), SeenPieces(), 0
 
         def numbers_of(piece: str):
             plain = piece.isascii() and (piece[1:] if piece[0] == " " else piece).isalpha()  # one word, without a search

@@ -21,7 +21,7 @@ from .textbytes import SLAB_BYTES, slabs, span_hashes
 _VISIBLE = np.zeros(256, bool)
 _VISIBLE[0x21:0x7F] = True
 #: A task remembers the results of so many distinct pieces, then starts anew.
-SEEN_PIECES = 300_000
+SEEN_PIECES = 1_000_000
 
 _encoders: dict = {}
 
@@ -76,10 +76,37 @@ def _cuts(raw: bytes, data: np.ndarray, at: np.ndarray, added: tuple[str, ...])
     return np.flatnonzero(start[: len(data)])
 
 
-def encoded_slabs(column: pa.Array, encode, added: tuple[str, ...] = (), seen: dict | None = None, limit: int = SLAB_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+class SeenPieces:
+    """What the pieces that a task met so far were encoded to, by their hashes."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.hashes, self.begin, self.size, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def places(self, hashes: np.ndarray, encoded) -> tuple[np.ndarray, np.ndarray]:
+        """Begin and size in ``ids`` of each piece; ``hashes`` are distinct and ascending, ``encoded`` gives the ids of piece i."""
+        if len(self.hashes) > SEEN_PIECES:
+            self.clear()
+        at = np.searchsorted(self.hashes, hashes)
+        new = np.ones(len(hashes), bool)
+        old = at < len(self.hashes)
+        new[old] = self.hashes[at[old]] != hashes[old]
+        found = [array("I", encoded(i)).tobytes() for i in np.flatnonzero(new).tolist()]
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        begin = len(self.ids) + np.cumsum(size) - size
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(found), np.uint32)])
+        for name, value in (("hashes", hashes[new]), ("begin", begin), ("size", size)):
+            setattr(self, name, np.insert(getattr(self, name), at[new], value))
+        at = np.searchsorted(self.hashes, hashes)
+        return self.begin[at], self.size[at]
+
+
+def encoded_slabs(column: pa.Array, encode, added: tuple[str, ...] = (), seen: SeenPieces | None = None, limit: int = SLAB_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Yield (first row, ids, offsets of the rows' ids) for consecutive rows of a text column; null counts as empty.
-    ``encode``: the ids of one piece; ``seen``: what it gave for the hashes of earlier pieces, kept by the caller."""
-    seen = {} if seen is None else seen
+    ``encode``: the ids of one piece; ``seen``: earlier pieces, kept by the caller."""
+    seen = SeenPieces() if seen is None else seen
     for row, data, at in slabs(column, limit):
         n = len(at) - 1
         if not len(data):
@@ -87,20 +114,10 @@ def encoded_slabs(column: pa.Array, encode, added: tuple[str, ...] = (), seen: d
             continue
         raw = data.tobytes()
         start = _cuts(raw, data, at, added)
-        end = np.append(start[1:], len(data))
-        hashes, first, piece = np.unique(span_hashes(data, start, end), return_index=True, return_inverse=True)
-        if len(seen) > SEEN_PIECES:
-            seen.clear()
-        found = []
-        for key, a, b in zip(hashes.tolist(), start[first].tolist(), end[first].tolist()):
-            ids = seen.get(key)
-            if ids is None:
-                ids = seen[key] = array("I", encode(raw[a:b].decode())).tobytes()
-            found.append(ids)
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        flat = np.frombuffer(b"".join(found), np.uint32)
-        begin = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-        count = sizes[piece]
+        hashes, first, piece = np.unique(span_hashes(data, start, np.append(start[1:], len(data))), return_index=True, return_inverse=True)
+        a, b = start[first].tolist(), np.append(start[1:], len(data))[first].tolist()
+        begin, size = seen.places(hashes, lambda i: encode(raw[a[i] : b[i]].decode()))
+        count = size[piece]
         total = np.concatenate([[0], np.cumsum(count)])
-        ids = flat[np.repeat(begin[piece] - total[:-1], count) + np.arange(total[-1])]
+        ids = seen.ids[np.repeat(begin[piece] - total[:-1], count) + np.arange(total[-1])]
         yield row, ids, total[np.searchsorted(start, at)]

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .encoding import encoded_slabs, encoder
+from .encoding import SeenPieces, encoded_slabs, encoder
 
 CAPACITY = 2048
 #: Cost of n tokens of one document: n * LINEAR + n * n. The linear part stands for the layers' width.
@@ -111,7 +111,7 @@ def pack_documents(df: DataFrame, path: str, pattern: str, key: str = "doc_id",
     def run(batches):
         part, made = TaskContext.get().partitionId(), 0
         encode, added = encoder(path, pattern)
-        seen = {}
+        seen = SeenPieces()
         keys, held, total = [], [], 0
 
         def shard(key_type):

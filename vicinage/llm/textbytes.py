@@ -26,7 +26,7 @@ _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 def _power(kind: str, n: int) -> np.ndarray:
     """The first n powers of the base (or of its inverse) modulo 2**64; kept between calls."""
     if len(_powers[kind]) < n:
-        steps = np.full(max(n, SLAB_BYTES + 1), _BASE if kind == "up" else _INVERSE, np.uint64)
+        steps = np.full(max(n, 2 * len(_powers[kind]), 1 << 16), _BASE if kind == "up" else _INVERSE, np.uint64)
         steps[0] = 1
         _powers[kind] = np.cumprod(steps)
     return _powers[kind][:n]

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import tables
-from .encoding import encoded_slabs, encoder
+from .encoding import SeenPieces, encoded_slabs, encoder
 
 #: Lengths are summed within blocks of so many, and then over blocks, so that no task has to order all lengths.
 BLOCK = 1024
@@ -24,7 +24,7 @@ def token_lengths(df: DataFrame, path: str, pattern: str, text: str = "text") ->
 
     def run(batches):
         encode, added = encoder(path, pattern)
-        seen = {}
+        seen = SeenPieces()
         for batch in batches:
             for _, _, at in encoded_slabs(batch.column(0), encode, added, seen):
                 yield pa.RecordBatch.from_arrays([pa.array(np.diff(at))], ["n_tokens"])
