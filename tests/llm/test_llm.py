@@ -136,6 +136,9 @@ def test_jaccard_equals_all_pairs(spark, documents):
         got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similarity_components(frame(spark, rows), width=width, percent=percent).collect()}
         assert got == brute.jaccard_components(rows, width, percent)
     assert jaccard.similarity_components(frame(spark, [])).count() == 0
+    odd = spark.createDataFrame([(None, "a b c d"), (None, None), (3, "a b c d"), (2, "A B c d"), (2, "A B c d"), (4, None)], EMPTY)
+    got = sorted((r.doc_id or 0, r.n_shingles, r.component_id) for r in jaccard.similarity_components(odd).collect() if r.n_shingles)
+    assert got == [(0, 2, None), (2, 2, 2), (2, 2, 2), (3, 2, 2)] and jaccard.similarity_links(odd).count() == 6
 
 
 def test_every_link_is_found_and_counted(spark, documents, monkeypatch):

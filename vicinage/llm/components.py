@@ -17,14 +17,15 @@ def _state(edges: DataFrame) -> tuple:
     return r[0], r[1]
 
 
-def components(links: DataFrame, u: str, v: str) -> DataFrame:
-    """(node, component) for every node of a link, the component being its smallest node.
+def components(links: DataFrame, u: str, v: str) -> tuple[DataFrame, str]:
+    """(node, component) for every node of a link, the component being its smallest node; and the path of the table behind it.
 
     Nulls and links of a node with itself are ignored; repeated links count once; without links there are no rows.
     Each round hangs neighbours on the smallest one near; rounds grow with the logarithm of the number of nodes.
     """
+    spark = links.sparkSession
     edges = links.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).filter("u <> v").distinct()
-    edges = tables.kept(edges)
+    edges, path = tables.written(edges, "links")
     before = _state(edges)
     while before[0]:
         both = _both(edges)
@@ -33,10 +34,11 @@ def components(links: DataFrame, u: str, v: str) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(low, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        edges = tables.kept(small)
-        after = _state(edges)
+        edges, now = tables.written(small, "links")
+        tables.drop(spark, path)  # of the rounds only the last stays
+        path, after = now, _state(edges)
         if after == before:
             break
         before = after
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots), path

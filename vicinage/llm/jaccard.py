@@ -18,7 +18,8 @@ number of shingles U, and so have much in common once the universe of shingles i
 
 Cases: a null or empty text has no shingles and links with nothing; keys are taken to be unique, and a row that is there
 twice gives the same result twice; texts of any length are used whole; an empty table gives an empty table; only the key
-and text columns are read, so extra columns cannot clash; rows with a null key are left out, as nothing could refer to them.
+and text columns are read, so extra columns cannot clash; a row with a null key gets its number of shingles, and a null
+component, as no link could name it.
 """
 
 from __future__ import annotations
@@ -29,7 +30,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from . import tables
 from .components import components
@@ -331,53 +331,68 @@ def similarity_components(df: DataFrame, key: str = "doc_id", text: str = "text"
 
     ``width``: words of a shingle; ``percent``: the least similarity that links, in hundredths.
     """
-    sizes, named = _components(df, key, text, width, percent)[1:]
-    return sizes.select("id", "n").join(named, "id", "left").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    return _components(df, key, text, width, percent)[1].select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id")
 
 
 def _found(df: DataFrame, key: str, text: str, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """The texts (id, text), and a written table of the rows of ``similarity_components`` with ``head``, the smallest key of the row's set."""
-    texts, sizes, named = _components(df, key, text, width, percent)
-    rows = sizes.select("id", "n").join(named, "id", "left")
-    rows = rows.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), F.coalesce("head", "id").alias("head"))
-    return texts, tables.written(rows, "components")[0]
-
-
-def _components(df: DataFrame, key: str, text: str, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Texts (id, text), their sizes (id, n, ..), and the component and the head (smallest id) of each set's ids."""
-    spark = df.sparkSession
-    texts = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).filter("id is not null")
-    sizes, _ = tables.written(_sizes(texts, width), "sizes")
-    classes = sizes.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("id").alias("head"))
-    heads = sizes.join(classes, ["n", "s1", "s2"]).select("id", "n", "head").distinct()
-    heads, _ = tables.written(heads, "heads")  # a set's smallest document stands for it
+    """The texts (id, text), and the rows of ``similarity_components`` with ``head``, the smallest key of the row's set."""
+    texts, found = _components(df, key, text, width, percent)
+    return texts, found.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id", "head")
+
+
+def _components(df: DataFrame, key: str, text: str, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Texts (id, text), and a written table (id, n, head, component_id) of a row for each of the rows: the size of its set, and the
+    smallest id with that set and in its component."""
+    rows = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    with tables.shuffles_dropped(df.sparkSession):
+        return rows.filter("id is not null"), _components_of(rows, width, percent)
+
+
+def _components_of(rows: DataFrame, width: int, percent: int) -> DataFrame:
+    spark, texts = rows.sparkSession, rows.filter("id is not null")
+    sizes, sizes_path = tables.written(_sizes(rows, width), "sizes")
+    # Of equal sets the smallest document stands for all. Only sets of several documents are joined back.
+    copied = sizes.filter("n > 0 and id is not null").groupBy("n", "s1", "s2").agg(F.min("id").alias("head"), F.count("*").alias("many")).filter("many > 1")
+    copied, copied_path = tables.written(copied.drop("many"), "copied")
+    heads = sizes.join(tables.small(copied), ["n", "s1", "s2"], "left").select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("head", "id")).alias("head"))
+    heads, heads_path = tables.written(heads, "heads")
+    tables.drop(spark, sizes_path, copied_path)
 
     bounds = band_bounds(percent)
     edges = F.array(*[F.lit(b) for b in bounds])
-    bands = heads.filter("id = head").groupBy(F.size(F.filter(edges, lambda b: b <= F.col("n"))).alias("k")).count()
+    bands = heads.filter("id = head and n > 0").groupBy(F.size(F.filter(edges, lambda b: b <= F.col("n"))).alias("k")).count()
     counts = {r["k"] - 1: r["count"] for r in bands.collect()}  # a row for each band, of which there are few hundreds
     plan = allocate(counts, percent)
 
-    alone = tables.only_ids(texts, "id", heads.filter("id <> head").select("id"), "left_anti")
-    same = Window.partitionBy("sig")
-    entries = _entries(alone, width, percent, plan).withColumns({"low": F.min("id").over(same), "high": F.max("id").over(same)}).filter("low <> high")
-    entries, entries_path = tables.written(entries, "entries")
+    # Entries are made twice: once to find those of several documents, and once more to keep only those.
+    alone = tables.only_ids(texts, "id", heads.filter("id <> head").select("id").distinct(), "left_anti")
+    made = _entries(alone, width, percent, plan)
+    shared, shared_path = tables.written(made.groupBy("sig").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low <> high"), "shared")
+    entries, entries_path = tables.written(made.join(tables.small(shared), "sig"), "entries")
+    tables.drop(spark, shared_path)
     pairs = entries.select(F.col("low").alias("a"), F.col("id").alias("b")).filter("a <> b").union(entries.filter("id <> low").select(F.col("id").alias("b"), F.col("high").alias("a")).filter("a <> b").select(F.least("a", "b"), F.greatest("a", "b")))
-    near = tables.kept(_compared(alone, pairs.distinct(), width, percent))
-    groups = tables.kept(components(near, "a", "b"))
+    near, near_path = tables.written(_compared(alone, pairs.distinct(), width, percent), "near")
+    groups, groups_path = components(near, "a", "b")
 
     # Classes of one entry in different components: all of them are compared, first by their sketches.
-    entry = entries.join(groups.withColumnRenamed("node", "id"), "id", "left").select("sig", "id", "low", "high", F.coalesce("component", "id").alias("part"))
+    entry = entries.join(tables.small(groups.withColumnRenamed("node", "id")), "id", "left").select("sig", "id", "low", "high", F.coalesce("component", "id").alias("part"))
     several = entry.groupBy("sig").agg(F.min("part").alias("p0"), F.max("part").alias("p1"), F.ceil(F.count("*") / CHUNK).alias("chunks")).filter("p0 <> p1").select("sig", "chunks")
-    left = tables.kept(entry.join(several, "sig").distinct())
+    several, several_path = tables.written(several, "several")
+    left, left_path = tables.written(entry.join(tables.small(several), "sig").distinct(), "left")
+    tables.drop(spark, entries_path, several_path)
     more = _near_sketches(left, _sketches(tables.only_ids(alone, "id", left.select("id").distinct()), width, percent), percent).distinct()
-    late = tables.kept(_compared(alone, more, width, percent))
+    more, more_path = tables.written(more, "more")
+    tables.drop(spark, left_path)
+    late, late_path = tables.written(_compared(alone, more, width, percent), "late")
+    tables.drop(spark, more_path)
     if late.take(1):
-        groups = tables.kept(components(near.union(late), "a", "b"))
-    tables.drop(spark, entries_path)
+        tables.drop(spark, groups_path)
+        groups, groups_path = components(near.union(late), "a", "b")
 
-    named = heads.join(groups.withColumnRenamed("node", "head"), "head", "left").select("id", "head", F.coalesce("component", "head").alias("component_id"))
-    return texts, sizes, named
+    named = heads.join(tables.small(groups.withColumnRenamed("node", "head")), "head", "left")
+    found, _ = tables.written(named.select("id", "n", "head", F.coalesce("component", "head").alias("component_id")), "components")
+    tables.drop(spark, heads_path, near_path, late_path, groups_path)
+    return found
 
 
 # --- links -----------------------------------------------------------------------------------------------------------

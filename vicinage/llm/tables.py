@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Ids are broadcast up to so many rows (8 bytes each); beyond that a shuffled join takes their place.
 BROADCAST_IDS = 1_000_000
+#: So for rows of several numbers.
+BROADCAST_ROWS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,9 +47,24 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+@contextlib.contextmanager
+def shuffles_dropped(spark: SparkSession):
+    """Within it, the shuffle files of a job are deleted when the job ends, not when the driver next collects garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The table, marked for broadcast if it is proven to have no more than so many rows; else joins shuffle."""
+    few = len(df.limit(rows + 1).groupBy().count().filter(f"count <= {rows}").take(1)) == 1
+    return F.broadcast(df) if few else df
+
+
 def only_ids(df: DataFrame, key: str, ids: DataFrame, how: str = "left_semi") -> DataFrame:
     """Rows whose key is (or with left_anti is not) among ``ids``, without a shuffle of ``df`` while the ids are few."""
-    from pyspark.sql import functions as F
-
-    few = len(ids.limit(BROADCAST_IDS + 1).groupBy().count().filter(f"count <= {BROADCAST_IDS}").take(1)) == 1
-    return df.join(F.broadcast(ids) if few else ids, key, how)
+    return df.join(small(ids, BROADCAST_IDS), key, how)
