@@ -347,6 +347,23 @@ def test_hmm_base_scores_and_likelihood(spark, documents):
     assert model > base
 
 
+def test_hmm_repeated_and_null_keys(spark):
+    rows = [(1, "zz1 zz2 zz3"), (1, "zz1 zz2 zz3"), (1, "zz1 other"), (None, "zz1 zz2"), (None, "zz1 zz2"), (None, None), (2, "zz1 zz2"), (3, "the the")]
+    got = hmm.fit_and_score(frame(spark, rows), passes=1).collect()
+    end, counts = "\0", collections.Counter()
+    for i, text in rows:
+        if i is not None and zlib.crc32(str(i).encode()) % 5 != 1:
+            counts.update([*(text or "").split(), end])
+    n, v = sum(counts.values()), len(counts)
+    want = []
+    for i, text in rows:
+        w = [*(text or "").split(), end]
+        want.append((i or 0, len(w), sum(counts[x] > 0 for x in w), round(sum(math.log10((counts[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w), 9)))
+    assert sorted(want) == sorted((r.doc_id or 0, r.n_tokens, r.n_known, round(r.base_score, 9)) for r in got)
+    assert len({round(r.score, 9) for r in got if r.n_tokens == 4}) == 1 and all(r.held_out for r in got if r.doc_id is None)
+    assert hmm.fit_and_score(frame(spark, [])).count() == 0
+
+
 def test_forward_recursion_sums_all_paths():
     import itertools
 
@@ -452,9 +469,26 @@ def test_neighbours_odd_vectors(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = [(r["rank"], r.vec_id) for r in ann.search(df, df.filter("vec_id = 0"), k=3).orderBy("rank").collect()]
     assert got == [(1, 1), (2, 2), (3, 8)]
+    more = spark.createDataFrame([*rows, (9, [1.0, 1.0, 2.0]), (9, [1.0, 1.0, 2.0]), (10, [3.0] * 3), (11, [5.0])], "vec_id long, embedding array<double>").selectExpr("*", "'x' AS score")
+    got = [(r.query_id, r["rank"], r.vec_id) for r in ann.search(more, more.filter("vec_id in (0, 7, 11)"), k=2).orderBy("query_id", "rank").collect()]
+    assert got == [(0, 1, 1), (0, 2, 2), (7, 1, 10), (7, 2, 9)]
+    same = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(20)], "vec_id long, embedding array<double>")
+    assert [r.vec_id for r in ann.search(same, same.filter("vec_id = 5"), k=3).orderBy("rank").collect()] == [0, 1, 2]
     assert ann.search(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_neighbours_recall_on_clusters(spark):
+    rng = np.random.default_rng(3)
+    m = (rng.normal(size=(40, 32))[rng.integers(0, 40, 9000)] + 0.4 * rng.normal(size=(9000, 32))).astype(np.float64)
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(m.tolist())], "vec_id long, embedding array<double>")
+    found = {(r.query_id, r.vec_id) for r in ann.search(df, df.filter("vec_id % 50 = 0")).collect()}
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    score = unit[::50] @ unit.T
+    score[np.arange(180), np.arange(180) * 50] = -9
+    best = np.argsort(-score, 1)[:, :5]
+    assert sum((i * 50, j) in found for i in range(180) for j in best[i].tolist()) / 900 >= 0.9
+
+
 # --- pipeline
 
 

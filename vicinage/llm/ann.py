@@ -4,22 +4,22 @@ Pivots are a bounded sample of the vectors. Every vector is represented by its n
 place of each pivot, in the pivots' inverted files, block of vectors by block. A query reads the files of its own nearest
 pivots; the footrule distance of the two orders ranks what it finds in a block, and the best are ranked again by cosine.
 
-Cases: vectors that are null, of zero length or norm, or have null or non-finite components take no part, and neither do
-vectors of another length than most; equal vectors tie and the smaller id comes first; with fewer candidates
+Cases: vectors that are null, of zero length or norm, or have null or non-finite components take no part; vectors of
+different lengths have no cosine, so each length has an index of its own; equal vectors tie and the smaller id comes first; with fewer candidates
 than asked for all are returned; an empty table gives an empty table; rows with a null id take no part; only the id and
 vector columns are read, so extra columns cannot clash.
 """
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-
-
 #: Size of the sample of pivots, pivots in a representation, and pivots whose files a query reads.
 PIVOTS, LENGTH = 256, 48
 #: Vectors and queries of a block, and candidates of each block that are ranked again for a query.
@@ -35,9 +35,9 @@ def usable(df: DataFrame, key: str, vector: str) -> DataFrame:
 
 
 def choose_pivots(vectors: DataFrame, n: int = PIVOTS) -> np.ndarray:
-    """n vectors with the smallest hashes of their ids, no two equal, of unit length."""
-    rows = vectors.select("v").groupBy("v").agg(F.lit(1)).select("v").orderBy(F.xxhash64("v")).limit(n).collect()
-    rows = [r["v"] for r in rows if len(r["v"]) == len(rows[0]["v"])]
+    """At most n of the 4 * n vectors with the smallest hashes of their ids, no two equal, scaled to unit length."""
+    rows = vectors.orderBy(F.xxhash64("id"), "id").select("v").limit(4 * n).collect()
+    rows = list(dict.fromkeys(tuple(r["v"]) for r in rows))[:n]
     return _unit(np.array(rows, np.float64)) if rows else np.zeros((0, 0))
 
 
@@ -118,14 +118,19 @@ def search_block(q_ids, q, q_perm, ids, m, perm, pivots: int, k: int, rerank: in
 
 def search(df: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = 5, pivots: int = PIVOTS, length: int = LENGTH, rerank: int = RERANK) -> DataFrame:
     """(query_id, rank, vec_id, score): the k rows of ``df`` nearest to each row of ``queries`` by cosine, its own id left out."""
-    spark = df.sparkSession
     rows, asked = usable(df, key, vector), usable(queries, key, vector)
+    lengths = sorted(r["n"] for r in asked.select(F.size("v").alias("n")).distinct().collect())  # a column has few
+    none = df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    found = [_search(*(x.filter(F.size("v") == n) for x in (rows, asked)), k, pivots, length, rerank) for n in lengths]
+    return functools.reduce(DataFrame.unionAll, [x for x in found if x is not None], none)
+
+
+def _search(rows: DataFrame, asked: DataFrame, k: int, pivots: int, length: int, rerank: int) -> DataFrame | None:
+    """``search`` among vectors (id, v) of one length."""
     schema = "query_id long, vec_id long, score double"
-    usual = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    rows, asked = (x.filter(F.size("v") == (usual["n"] if usual else 0)) for x in (rows, asked))
     chosen = choose_pivots(rows, pivots)
     if not len(chosen):
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        return None
     length = min(length, len(chosen))
     n, n_asked = rows.count(), asked.count()
     blocks, query_blocks = -(-n // BLOCK), max(1, -(-n_asked // QUERY_BLOCK))
@@ -153,5 +158,3 @@ def search(df: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str =
 def query(spark, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return search(rows, rows.filter("vec_id % 50 = 0"))
-
-

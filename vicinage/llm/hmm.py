@@ -7,11 +7,12 @@ end are classes of their own, all other words share classes by their last bytes.
 
 P(word | class) comes from the counts of all training words, half of a class's singletons' mass standing for unseen words. The
 other probabilities come from Baum-Welch: expected counts of windows of the sequences, which cover every training token,
-are summed in each task and then across tasks. The likelihood of a text is exact: a scaled forward recursion over the whole.
+are summed in each task and then across tasks. Moves from one window to the next are not counted, one in WINDOW; a
+window starts from the states' shares instead. The likelihood of a text is exact: a scaled forward recursion over the whole.
 
-Cases: a null or empty text is its end alone; texts of any length are scored whole; keys are taken to be unique (a row that is
-there twice is scored with its words counted twice); rows with a null key are not trained on and get no counts of rare words; an empty table gives an
-empty table; without training documents all counts are 0 and the model is uniform; only the key and text columns are
+Cases: a null or empty text is its end alone; texts of any length are scored whole; a row that is there twice gives the same
+result twice, and rows of one key with different texts are scored each; rows with a null key are scored and not trained on,
+and count as held out; an empty table gives an empty table; without training documents all counts are 0 and the model is uniform; only the key and text columns are
 read, so extra columns cannot clash.
 """
 
@@ -109,7 +110,7 @@ def _class_sums(counts: DataFrame, top: list[bytes]) -> DataFrame:
 
 
 def _rare_words(docs: DataFrame, top: list[bytes]) -> DataFrame:
-    """(word, class, ids): words of shared classes, and the documents of a slab in which they occur, once per occurrence."""
+    """(word, class, rows): words of shared classes, and the rows of a slab in which they occur, once per occurrence."""
 
     def run(batches):
         words = _Words(top)
@@ -126,18 +127,31 @@ def _rare_words(docs: DataFrame, top: list[bytes]) -> DataFrame:
                 raw, one = data.tobytes(), order[first]
                 found = [raw[a:b] for a, b in zip(start[one].tolist(), end[one].tolist())]
                 owners = pa.ListArray.from_arrays(pa.array(np.append(first, len(order)).astype(np.int32)), pa.array(ids[row + doc[order]], pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(c[one]), owners], ["word", "class", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(c[one]), owners], ["word", "class", "rows"])
 
-    return docs.filter("id is not null").mapInArrow(run, "word binary, class long, ids array<long>")
+    return docs.select("row", "text").mapInArrow(run, "word binary, class long, rows array<long>")
+
+
+def _with_rows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The documents (id, text) with ``row``, which tells rows apart: the id where it is one row's alone, else a hash of id and text;
+    and (row, copies) of those that several equal rows share."""
+    repeated = docs.groupBy("id").count().filter("count > 1 or id is null").select("id", F.lit(True).alias("shared"))
+    repeated = tables.written(repeated, "repeated")[0].withColumnRenamed("id", "again")
+    if not repeated.take(1):
+        return docs.withColumn("row", F.col("id")), docs.sparkSession.createDataFrame([], "row long, copies long")
+    found = docs.join(tables.small(repeated), F.col("id").eqNullSafe(F.col("again")), "left")
+    found = found.select("id", "text", F.when(F.col("shared"), F.xxhash64("id", "text")).otherwise(F.col("id")).alias("row"), "shared")
+    copies = found.filter("shared").groupBy("row").agg(F.count("*").alias("copies")).filter("copies > 1")
+    return found.drop("shared"), tables.written(copies, "copies")[0]
 
 
 def _sequences(docs: DataFrame, top: list[bytes], terms: np.ndarray) -> DataFrame:
-    """(id, n_words, classes, base, known): the classes of each text's tokens, and what its frequent words and its end add to the base score."""
+    """(row, id, n_words, classes, base, known): the classes of each text's tokens, and what its frequent words and its end add to the base score."""
 
     def run(batches):
         words = _Words(top)
         for batch in batches:
-            for row, data, at in slabs(batch.column(1)):
+            for row, data, at in slabs(batch.column(2)):
                 data, n = lowered(data), len(at) - 1
                 start, end, doc = word_spans(data, at)
                 c = words.classes(data, start, end, span_hashes(data, start, end))
@@ -148,9 +162,9 @@ def _sequences(docs: DataFrame, top: list[bytes], terms: np.ndarray) -> DataFram
                 out[np.arange(len(c)) + doc] = c
                 bounds = np.concatenate([[0], np.cumsum(many + 1)]).tolist()
                 seqs = [out[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, n), pa.array(many), pa.array(seqs, pa.binary()), pa.array(base), pa.array(known)], ["id", "n_words", "classes", "base", "known"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(row, n) for i in (0, 1)), pa.array(many), pa.array(seqs, pa.binary()), pa.array(base), pa.array(known)], ["row", "id", "n_words", "classes", "base", "known"])
 
-    return docs.mapInArrow(run, "id long, n_words long, classes binary, base double, known long")
+    return docs.select("row", "id", "text").mapInArrow(run, "row long, id long, n_words long, classes binary, base double, known long")
 
 
 # --- the model -------------------------------------------------------------------------------------------------------
@@ -293,6 +307,7 @@ def fit_and_score(df: DataFrame, key: str = "doc_id", text: str = "text", passes
     freq /= freq.sum()
 
     flag = F.coalesce(held_out("id"), F.lit(True))
+    docs, copies = _with_rows(docs)
     sequences, sequences_path = tables.written(_sequences(docs, top, base_terms).withColumn("held_out", flag), "sequences")
     model = baum_welch(sequences, freq, passes, states)
 
@@ -304,24 +319,24 @@ def fit_and_score(df: DataFrame, key: str = "doc_id", text: str = "text", passes
         F.log10((n + 0.5) / F.lit(n_tokens + 0.5 * (n_types + 1))).alias("rare_base"),
         F.log10(share).alias("rare_score"),
         (n > 0).cast("long").alias("rare_known"),
-        F.explode("ids").alias("id"),
+        F.explode("rows").alias("row"),
     )
-    sums = rare.groupBy("id").agg(*[F.sum(x).alias(x) for x in ("rare_base", "rare_score", "rare_known")])
+    sums = rare.groupBy("row").agg(*[F.sum(x).alias(x) for x in ("rare_base", "rare_score", "rare_known")])
 
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(5)], pa.array(log_likelihoods(batch.column(5).to_pylist(), model) / math.log(10))], ["id", "n_words", "base", "known", "held_out", "path"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(6)], pa.array(log_likelihoods(batch.column(6).to_pylist(), model) / math.log(10))], ["row", "id", "n_words", "base", "known", "held_out", "path"])
 
-    scored = sequences.select("id", "n_words", "base", "known", "held_out", "classes").mapInArrow(run, "id long, n_words long, base double, known long, held_out boolean, path double")
-    zero = lambda x: F.coalesce(x, F.lit(0))
-    return scored.join(sums, "id", "left").select(
+    scored = sequences.select("row", "id", "n_words", "base", "known", "held_out", "classes").mapInArrow(run, "row long, id long, n_words long, base double, known long, held_out boolean, path double")
+    one = lambda x: F.coalesce(F.col(x) / F.coalesce("copies", F.lit(1)), F.lit(0))  # noqa: E731  # equal rows share one sum
+    return scored.join(sums, "row", "left").join(tables.small(copies), "row", "left").select(
         F.col("id").alias(key),
         "held_out",
         (F.col("n_words") + 1).alias("n_tokens"),
-        (F.col("known") + zero("rare_known") + (1 if ends else 0)).alias("n_known"),
+        (F.col("known") + one("rare_known").cast("long") + (1 if ends else 0)).alias("n_known"),
         F.lit(n_tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + zero("rare_base")).alias("base_score"),
-        (F.col("path") + zero("rare_score")).alias("score"),
+        (F.col("base") + one("rare_base")).alias("base_score"),
+        (F.col("path") + one("rare_score")).alias("score"),
     )
 
 
