@@ -97,7 +97,7 @@ def test_media_round_trip(spark, documents):
     got = {r.doc_id: r for r in media.read_media(media.store_text(frame(spark, rows))).collect()}
     for i, text in rows:
         raw = (text or "").encode()
-        padded = mpeg.pad(raw)
+        padded = raw + b" " * (-len(raw) % 192 if raw else 192)
         r = got[i]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-16:]))
         assert r.n_samples == 384 * r.n_frames and r.bad_crc == 0 and len(r.frame_offsets) == r.n_frames
@@ -115,6 +115,49 @@ def test_media_resynchronises_and_sees_damage():
     assert media.features(None)[0] is None and media.features(b"no frames")[7] == 0
     layer3 = (b"\xff\xfb\x90\x64" + bytes(413)) * 3
     assert mpeg.parse(layer3)["samples"] == 3 * 1152
+    assert whole["table"]["fits"] and whole["table"]["frames"] == len(whole["offsets"])
+    table = raw.index(b"Info")
+    assert not mpeg.parse(raw[: table + 8] + struct.pack(">I", 99) + raw[table + 12 :])["table"]["fits"]  # number of frames
+    assert not mpeg.parse(raw[: table + 16 + 50] + b"\0" + raw[table + 67 :])["table"]["fits"]  # a seek point
+    for cut in range(0, len(raw), 37):  # truncated streams keep their whole frames
+        assert mpeg.parse(raw[:cut])["offsets"] == [x for x in whole["offsets"] if x + 240 <= cut]
+    random.seed(8)
+    for _ in range(200):  # hostile bytes neither fail nor give frames beyond the end
+        noise = bytes(random.choice((255, 254, 251, 88, 192, 0, random.randrange(256))) for _ in range(3000))
+        assert all(x < len(noise) for x in mpeg.parse(noise)["offsets"])
+    assert mpeg.header(raw[whole["offsets"][0] :][:4])["size"] == 240
+
+
+def bitwise_crc(bits):
+    """The checksum as the standard has it, bit by bit."""
+    value = 0xFFFF
+    for b in bits:
+        value = (value << 1) ^ (0x18005 if (value >> 15 ^ int(b)) & 1 else 0)
+        value &= 0xFFFF
+    return value
+
+
+def test_media_layer_2_checksums():
+    """Frames of 192 kbit/s, 44.1 kHz, joint stereo with bound 8: 8 subbands for each channel, 22 for both."""
+    random.seed(9)
+    word = bytes([0xFF, 0xFC, 0xA0, 0x54])
+    h = mpeg.header(word)
+    assert (h["layer"], h["kbit"], h["rate"], h["samples"], h["protected"]) == (2, 192, 44100, 1152, True)
+    widths, out = [4] * 11 + [3] * 12 + [2] * 7, b""
+    for _ in range(4):
+        allocation, used = "", 0
+        for band, width in enumerate(widths):
+            for _ in range(2 if band < 8 else 1):
+                x = random.randrange(1 << width)
+                allocation += f"{x:0{width}b}"
+                used += (1 if band < 8 else 2) * (x > 0)
+        bits = allocation + "".join(random.choice("01") for _ in range(2 * used))
+        crc = bitwise_crc(f"{word[2]:08b}{word[3]:08b}" + bits)
+        body = int(bits.ljust(8 * (h["size"] - 6), "1"), 2).to_bytes(h["size"] - 6)
+        out += word + crc.to_bytes(2) + body
+    got = mpeg.parse(out)
+    assert (len(got["offsets"]), got["checked"], got["bad"], got["samples"]) == (4, 4, 0, 4608)
+    assert mpeg.parse(out[:8] + bytes([out[8] ^ 16]) + out[9:])["bad"] == 1
 
 
 # --- similarity join

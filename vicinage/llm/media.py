@@ -55,7 +55,7 @@ def features(media: bytes | None) -> tuple:
     held = mpeg.payload(media, got)
     seconds = got["samples"] / got["rate"] if got["rate"] else 0.0
     table = got["table"]
-    feature = f"v{got['version']}:l{got['layer']}:{got['rate']}Hz:{len(got['offsets'])}f:{got['samples']}s:{table['kind'] if table else '-'}:{got['checked'] - got['bad']}/{got['checked']}ok"
+    feature = f"v{got['version']}:l{got['layer']}:{got['rate']}Hz:{len(got['offsets'])}f:{got['samples']}s:{table['kind'] + ('' if table['fits'] else '!') if table else '-'}:{got['checked'] - got['bad']}/{got['checked']}ok"
     n = got["tags"].get("TXXX:payload_bytes", "")
     return (int(n) if n.isdigit() else None, len(held), hashlib.sha256(held).hexdigest(), mpeg.tail_crc(held), len(media), hashlib.sha256(media).hexdigest(), feature, len(got["offsets"]), got["samples"], got["rate"], seconds, got["skipped"], got["bad"], got["offsets"])
 
@@ -76,4 +76,4 @@ def read_media(df: DataFrame, key: str = "doc_id", media: str = "media") -> Data
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return read_media(store_text(docs)).drop("frame_offsets")
+    return read_media(store_text(docs))

@@ -114,14 +114,44 @@ def header(word: bytes) -> dict | None:
     return {"version": version, "layer": layer, "kbit": kbit, "rate": rate, "size": size, "samples": samples, "mono": word[3] >> 6 == 3, "mode": word[3] >> 6, "extension": word[3] >> 4 & 3, "protected": not word[1] & 1}
 
 
-def _checked_bytes(h: dict) -> int | None:
-    """How many bytes after the checksum it covers; None for Layer II, whose allocation width depends on tables."""
+#: Fixed values of the standards' allocation tables for Layer II: bits of the allocation of each subband.
+_WIDTHS = {"long": (*[4] * 11, *[3] * 12, *[2] * 7), "short": (*[4] * 2, *[3] * 10), "low": (*[4] * 4, *[3] * 7, *[2] * 19)}
+
+
+def _layer2_widths(h: dict) -> tuple[int, ...]:
+    """Bits of the allocation of the subbands in use."""
+    if h["version"] != 1:
+        return _WIDTHS["low"]
+    each = h["kbit"] // (1 if h["mono"] else 2)
+    if each <= 48:
+        return _WIDTHS["short"][: 12 if h["rate"] == 32000 else 8]
+    return _WIDTHS["long"][: 27 if h["rate"] == 48000 or each <= 80 else 30]
+
+
+def _checked_bits(h: dict, body: bytes) -> int:
+    """How many bits after the checksum it covers, the header's last 16 aside; ``body``: the frame's bytes after the checksum."""
+    channels = 1 if h["mono"] else 2
+    bound = (h["extension"] + 1) * 4 if h["mode"] == 1 else 32
     if h["layer"] == 1:
-        bound = (h["extension"] + 1) * 4 if h["mode"] == 1 else 32
-        return 16 if h["mono"] else (bound * 8 + (32 - bound) * 4) // 8
+        return 128 if h["mono"] else bound * 8 + (32 - bound) * 4
     if h["layer"] == 3:
-        return (17 if h["mono"] else 32) if h["version"] == 1 else (9 if h["mono"] else 17)
-    return None
+        return 8 * ((17 if h["mono"] else 32) if h["version"] == 1 else (9 if h["mono"] else 17))
+    bits, at, used = int.from_bytes(body[:64].ljust(64, b"\0")), 0, 0
+    for band, width in enumerate(_layer2_widths(h)):  # the allocation, then two bits for each channel of a subband in use
+        shared = band >= bound
+        for _ in range(1 if shared else channels):
+            used += (channels if shared else 1) * (bits >> (512 - at - width) & (1 << width) - 1 > 0)
+            at += width
+    return at + 2 * used
+
+
+def frame_crc(word: bytes, body: bytes, bits: int) -> int:
+    """The checksum of a frame with header ``word``: its last 16 bits and the first so many of ``body``."""
+    value = crc16(word[2:] + body[: bits // 8])
+    for i in range(bits % 8):
+        one = (body[bits // 8] >> 7 - i & 1) ^ value >> 15
+        value = (value << 1 & 0xFFFF) ^ (0x8005 if one else 0)
+    return value
 
 
 def _tags(data: bytes) -> tuple[int, int, dict]:
@@ -164,13 +194,29 @@ def _table(data: bytes, at: int, h: dict) -> dict | None:
     return None
 
 
+def _follows(h: dict, word: bytes) -> bool:
+    """Whether a header of the same stream comes next."""
+    other = header(word)
+    return other is not None and all(other[x] == h[x] for x in ("version", "layer", "rate"))
+
+
+def _fits(table: dict, begin: int, offsets: list[int], end: int) -> bool:
+    """Whether a table agrees with the frames that were found: their number, the bytes, and for each hundredth of the frames
+    (after the table's own) a seek point no farther off than its rounding and one frame."""
+    if table.get("frames", len(offsets)) != len(offsets) or table.get("bytes", end - begin) != end - begin:
+        return False
+    starts, size = [begin, *offsets], end - begin
+    far = size / 256 + max((b - a for a, b in zip(starts, [*offsets, end])), default=0) + 1
+    return all(abs(x * size / 256 - (starts[min(len(starts) - 1, round(len(starts) * k / _SEEK))] - begin)) <= far for k, x in enumerate(table.get("seek", [])) if x < 255)
+
+
 def parse(data: bytes) -> dict:
-    """Tags, table, frames and checksums of a stream. A frame counts if another, or the end, follows it; bytes that
+    """Tags, table, frames and checksums of a stream. A frame counts if one of its kind, or the end, follows it; bytes that
     belong to no frame are skipped up to the next such header; a frame whose checksum holds needs nothing after it. The
     frame of a table holds no audio."""
     start, end, tags = _tags(data)
     at, offsets, table, kept, lost, bad, checked, samples = start, [], None, {}, 0, 0, 0, 0
-    last, first = None, True
+    last, first, begin = None, True, 0
     while at + 4 <= end:
         word = data[at : at + 4]
         h = kept.get(word, 0)
@@ -178,14 +224,15 @@ def parse(data: bytes) -> dict:
             h = kept[word] = header(word)
         whole = h is not None and at + h["size"] <= end
         holds = None
-        if whole and h["protected"] and (n := _checked_bytes(h)) is not None:
-            seen = word[2:] + data[at + 6 : at + 6 + n]
+        if whole and h["protected"] and h["size"] >= 70:
+            n = _checked_bits(h, data[at + 6 : at + 70])
+            seen = (word, n, data[at + 6 : at + 6 + -(-n // 8)])
             value = kept.get(seen)
             if value is None:
-                value = kept[seen] = crc16(seen)
+                value = kept[seen] = frame_crc(word, seen[2], n)
             holds = value == data[at + 4] << 8 | data[at + 5]
         then = at + h["size"] if whole else 0
-        if not whole or not (holds or then == end or (then + 4 <= end and data[then] == 0xFF and data[then + 1] >= 0xE0)):
+        if not whole or not (holds or then == end or _follows(h, data[then : then + 4])):
             after = data.find(b"\xff", at + 1, end)
             lost += (after if after >= 0 else end) - at
             at = after if after >= 0 else end
@@ -193,13 +240,15 @@ def parse(data: bytes) -> dict:
         checked += holds is not None
         bad += holds is False
         if first and (table := _table(data, at, h)):
-            pass
+            begin = at
         else:
             offsets.append(at)
             samples += h["samples"]
         first, last = False, h
         at += h["size"]
     lost += end - at if at < end else 0
+    if table:
+        table["fits"] = _fits(table, begin, offsets, end)
     return {"tags": tags, "table": table, "offsets": offsets, "skipped": lost, "checked": checked, "bad": bad, "samples": samples, "rate": last["rate"] if last else None, "layer": last["layer"] if last else None, "version": last["version"] if last else None}
 
 
