@@ -43,6 +43,8 @@ PAIR_COST, SHARED = 20.0, 0.5
 TAIL = 0.01
 #: Members of one set's comparisons are spread over so many groups; members of an entry are compared in chunks of so many.
 SALTS, CHUNK = 16, 512
+#: Bytes of text that a task works on at once.
+SLAB = 1 << 20
 #: Links are counted between chunks of a component that hold about so many sets, or so many shingles.
 LINK_SETS, LINK_SHINGLES = 512, 1 << 19
 
@@ -229,7 +231,7 @@ def parity_sketch(value: np.ndarray, bits: int) -> bytes:
 def _sketches(texts: DataFrame, width: int, percent: int) -> DataFrame:
     def run(batches):
         for batch in batches:
-            for row, data, at in slabs(batch.column(1)):
+            for row, data, at in slabs(batch.column(1), SLAB):
                 doc, value = shingle_sets(data, at, width)
                 n = np.bincount(doc, minlength=len(at) - 1)
                 ends = np.cumsum(n)
@@ -300,7 +302,7 @@ def _near_sketches(left: DataFrame, sketches: DataFrame, percent: int) -> DataFr
 def _sizes(texts: DataFrame, width: int) -> DataFrame:
     def run(batches):
         for batch in batches:
-            for row, data, at in slabs(batch.column(1)):
+            for row, data, at in slabs(batch.column(1), SLAB):
                 doc, value = shingle_sets(data, at, width)
                 n = len(at) - 1
                 yield pa.RecordBatch.from_arrays(
@@ -311,19 +313,28 @@ def _sizes(texts: DataFrame, width: int) -> DataFrame:
     return texts.mapInArrow(run, "id long, n long, s1 long, s2 long")
 
 
-def _entries(texts: DataFrame, width: int, percent: int, plan: dict) -> DataFrame:
+def _entries(texts: DataFrame, width: int, percent: int, plan: dict, ends: bool = False) -> DataFrame:
+    """(sig, id) of all index entries; with ``ends`` (sig, low, high), the smallest and the largest id of each entry in a slab."""
     bounds = np.array(band_bounds(percent), np.int64)
+    names = ["sig", "low", "high"] if ends else ["sig", "id"]
 
     def run(batches):
         for batch in batches:
-            for row, data, at in slabs(batch.column(1)):
+            for row, data, at in slabs(batch.column(1), SLAB):
                 doc, value = shingle_sets(data, at, width)
                 ids = batch.column(0).slice(row, len(at) - 1).to_numpy(zero_copy_only=False)
                 owner, sig = index_entries(doc, value, np.bincount(doc, minlength=len(at) - 1), bounds, plan)
-                for k in range(0, len(owner), 200_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(sig[k : k + 200_000].view(np.int64)), pa.array(ids[owner[k : k + 200_000]])], ["sig", "id"])
+                columns = [sig.view(np.int64), ids[owner]]
+                if ends and len(sig):
+                    order = np.argsort(sig, kind="stable")
+                    starts = np.flatnonzero(np.concatenate([[True], np.diff(sig[order]) != 0]))
+                    columns = [columns[0][order][starts], *(f.reduceat(columns[1][order], starts) for f in (np.minimum, np.maximum))]
+                elif ends:
+                    columns.append(columns[1])
+                for k in range(0, len(columns[0]), 200_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 200_000]) for c in columns], names)
 
-    return texts.mapInArrow(run, "sig long, id long")
+    return texts.mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
 def similarity_components(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, percent: int = 90) -> DataFrame:
@@ -364,11 +375,12 @@ def _components_of(rows: DataFrame, width: int, percent: int) -> DataFrame:
     counts = {r["k"] - 1: r["count"] for r in bands.collect()}  # a row for each band, of which there are few hundreds
     plan = allocate(counts, percent)
 
-    # Entries are made twice: once to find those of several documents, and once more to keep only those.
+    # Entries are made twice: once to find those of several documents, and once more to keep only those. Most are of one document,
+    # so the first shuffle takes rows that a slab has combined, and no further map-side tables.
     alone = tables.only_ids(texts, "id", heads.filter("id <> head").select("id").distinct(), "left_anti")
-    made = _entries(alone, width, percent, plan)
-    shared, shared_path = tables.written(made.groupBy("sig").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low <> high"), "shared")
-    entries, entries_path = tables.written(made.join(tables.small(shared), "sig"), "entries")
+    ends = _entries(alone, width, percent, plan, True).repartition("sig").groupBy("sig").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    shared, shared_path = tables.written(ends.filter("low <> high"), "shared")
+    entries, entries_path = tables.written(_entries(alone, width, percent, plan).join(tables.small(shared), "sig"), "entries")
     tables.drop(spark, shared_path)
     pairs = entries.select(F.col("low").alias("a"), F.col("id").alias("b")).filter("a <> b").union(entries.filter("id <> low").select(F.col("id").alias("b"), F.col("high").alias("a")).filter("a <> b").select(F.least("a", "b"), F.greatest("a", "b")))
     near, near_path = tables.written(_compared(alone, pairs.distinct(), width, percent), "near")
@@ -403,7 +415,7 @@ def _shingles(texts: DataFrame, width: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for row, data, at in slabs(batch.column(1)):
+            for row, data, at in slabs(batch.column(1), SLAB):
                 doc, value = shingle_sets(data, at, width)
                 ends = np.cumsum(np.bincount(doc, minlength=len(at) - 1)).tolist()
                 made = [value[a:b].tobytes() for a, b in zip([0, *ends], ends)]
