@@ -6,6 +6,10 @@ i-th by the md5 of seed, permutation and cell. So every engine and every partiti
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -105,6 +109,42 @@ def permuted(df: DataFrame, key: str, label: str, group: list[str], nperm: int,
     return drawn.join(places.select(*group, "at", label), [*group, "at"]).select("perm", key, label)
 
 
+def pair_sums(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """(perm, i, j, s): for each permutation of labels (perm, cell_id, label) the weights of the edges (q, r, w) from cells of label i
+    to cells of label j, summed. An edge meets its ends' labels of all permutations at once, as two arrays."""
+    names = sorted(r[0] for r in labels.select("label").filter("label is not null").distinct().collect())  # of which there are few
+    perms = sorted(r[0] for r in labels.select("perm").distinct().collect())
+    n, m = len(names), len(perms)
+    codes = F.create_map(*[x for i, c in enumerate(names) for x in (F.lit(c), F.lit(i))]) if names else F.create_map().cast("map<string,int>")
+    coded = labels.filter("label is not null").select("perm", "cell_id", codes[F.col("label")].alias("code"))
+    wide = checkpointed(coded.groupBy("cell_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("perm", "code"))), lambda x: x["code"]).alias("codes")))
+    to = wide.select(F.col("cell_id").alias("r"), F.col("codes").alias("to"))
+    pairs = edges.join(to, "r").join(wide.select(F.col("cell_id").alias("q"), F.col("codes").alias("own")), "q").select("w", "own", "to")
+    base = np.arange(m) * n * n
+
+    def run(batches):
+        total = np.zeros(m * n * n)
+        for batch in batches:
+            for a in range(0, batch.num_rows, 4096):
+                w, own, to = (batch.column(i).slice(a, 4096) for i in range(3))
+                own, to = (x.flatten().to_numpy().reshape(-1, m).astype(np.int64) for x in (own, to))
+                total += np.bincount((base + own * n + to).ravel(), np.repeat(w.to_numpy(), m), len(total))
+        k = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(total[k])], ["k", "s"])
+
+    sums = pairs.mapInArrow(run, "k long, s double").groupBy("k").agg(F.sum("s").alias("s"))
+    name = F.array(*[F.lit(c) for c in names]).cast("array<string>")
+    at = lambda x: F.get(name, (x % n).cast("int"))
+    perm = F.get(F.array(*[F.lit(p) for p in perms]).cast("array<bigint>"), F.floor(F.col("k") / max(1, n * n)).cast("int"))
+    return sums.select(perm.alias("perm"), at(F.floor(F.col("k") / max(1, n))).alias("i"), at(F.col("k")).alias("j"), "s") if n else sums.select(F.col("k").alias("perm"), F.lit("").alias("i"), F.lit("").alias("j"), "s")
+
+
+def permutation_chunks(nperm: int, labels: int, most: int = 200, cells: int = 1 << 22) -> list[tuple[int, int]]:
+    """(first, number) of the permutations that go together: as many as keep a task's sums under so many cells."""
+    size = max(1, min(most, cells // max(1, labels * labels)))
+    return [(a, min(size, nperm - a)) for a in range(0, nperm, size)]
+
+
 def null_z(observed: DataFrame, null: DataFrame, key: list[str], fallback: bool = False) -> DataFrame:
     """(key, value, zscore, pval) of observed values against permuted ones; a deviation of 0 becomes 1 (or the median deviation)."""
     stats = null.groupBy(*key).agg(F.avg("value").alias("m"), F.stddev_samp("value").alias("sd"))
@@ -159,28 +199,31 @@ def colocalization_matrix(edges: DataFrame, states: DataFrame, min_cells: int =
     return grid.join(shares, [*by, "i", "j"], "left").select(*by, "i", "j", (F.coalesce("s", F.lit(0.0)) / F.col("m")).alias("value"))
 
 
-def colocalization(cells: DataFrame, radius: float = 50, k: int = 200, min_cells: int = 10, nperm: int = 1000, seed: int = 1, chunk: int = 50) -> DataFrame:
+def colocalization(cells: DataFrame, radius: float = 50, k: int = 200, min_cells: int = 10, nperm: int = 1000, seed: int = 1) -> DataFrame:
     """(i, j, value, zscore, pval): co-location of states against labels permuted within cell types. The neighbour edges are
     made once; permutations go in chunks, of which only sums are kept."""
     rows = cells.select("cell_id", "x", "y", "cell_type", cell_state(F.col("se"), F.col("cell_type")).alias("state"))
     edges = checkpointed(neighbour_edges(rows, radius, k))
-    observed = colocalization_matrix(edges, rows, min_cells)
-    wanted, parts = observed.select("i").distinct().count(), []
-    for first in range(0, nperm, chunk):
-        drawn = permuted(rows, "cell_id", "state", ["cell_type"], min(chunk, nperm - first), seed + first)
-        null = colocalization_matrix(edges, drawn, min_cells, ["perm"])
-        parts.append(checkpointed(null.groupBy("i", "j").agg(F.sum("value").alias("s"), F.sum(F.col("value") ** 2).alias("ss"), F.count(F.lit(1)).alias("n"))))
-    total = parts[0]
-    for p in parts[1:]:
-        total = total.unionByName(p)
-    total = total.groupBy("i", "j").agg(F.sum("s").alias("s"), F.sum("ss").alias("ss"), F.sum("n").alias("n"))
-    if total.filter(F.col("n") < nperm).take(1) or total.select("i").distinct().count() < wanted:
+    observed = checkpointed(colocalization_matrix(edges, rows, min_cells))
+    enough = edges.groupBy("q").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_cells)
+    weighted = checkpointed(edges.join(enough, "q").select("q", "r", (1 / F.col("n")).alias("w")))
+    sums, counts = [], []
+    for first, many in permutation_chunks(nperm, rows.select("state").distinct().count()):
+        null = pair_sums(weighted, permuted(rows, "cell_id", "state", ["cell_type"], many, seed + first).withColumnRenamed("state", "label"))
+        # The weights of a cell's edges sum to one, so those of a state to its number of cells.
+        null = checkpointed(null.withColumn("value", F.col("s") / F.sum("s").over(Window.partitionBy("perm", "i"))))
+        sums.append(null.groupBy("i", "j").agg(F.sum("value").alias("s"), F.sum(F.col("value") ** 2).alias("ss")))
+        counts.append(null.groupBy("i").agg(F.countDistinct("perm").alias("n")))
+    n = checkpointed(reduce(DataFrame.unionByName, counts).groupBy("i").agg(F.sum("n").alias("n")))
+    if n.filter(F.col("n") < nperm).take(1) or n.count() < observed.select("i").distinct().count():
         raise ValueError("a permutation left a state without cells that have enough neighbours")
+    total = reduce(DataFrame.unionByName, sums).groupBy("i", "j").agg(F.sum("s").alias("s"), F.sum("ss").alias("ss"))
+    total = observed.join(total, ["i", "j"], "left").join(n, "i", "left").na.fill(0.0, ["s", "ss"])
     mean = F.col("s") / F.col("n")
     var = ratio(F.col("ss") - F.col("n") * mean * mean, F.col("n") - 1)
     sd = F.sqrt(F.when(var > 1e-18, var).otherwise(1.0))
     z = F.coalesce(ratio(F.col("value") - mean, sd), F.lit(0.0))
-    return observed.join(total, ["i", "j"], "left").select("i", "j", "value", z.alias("zscore")).withColumn("pval", two_sided_p("zscore"))
+    return total.select("i", "j", "value", z.alias("zscore")).withColumn("pval", two_sided_p("zscore"))
 
 
 def meta_analysis(results: DataFrame, cap: float = 5, min_samples: int = 1) -> DataFrame:
@@ -225,9 +268,21 @@ def moran_index(edges: DataFrame, labels: DataFrame, by: list[str] | None = None
 
 def normalized_moran(cells: DataFrame, nperm: int = 1000, k: int = 3, seed: int = 1) -> DataFrame:
     """(se, value, zscore, pval): Moran's I against labels permuted within cell types."""
-    edges = checkpointed(moran_edges(cells, k))
-    null = moran_index(edges, permuted(cells, "cell_id", "se", ["cell_type"], nperm, seed), ["perm"])
-    return null_z(moran_index(edges, cells.select("cell_id", "se")), null, ["se"])
+    edges = moran_edges(cells, k)
+    weighted = checkpointed(edges.withColumn("w", 1 / F.count(F.lit(1)).over(Window.partitionBy("q"))))
+    size = cells.filter("se is not null").groupBy("se").agg(F.count(F.lit(1)).alias("m"))
+    size = checkpointed(size.join(F.broadcast(cells.agg(F.count(F.lit(1)).alias("n")))))  # permutations leave a label's cells as many
+    parts = []
+    for first, many in permutation_chunks(nperm, size.count()):
+        sums = checkpointed(pair_sums(weighted, permuted(cells, "cell_id", "se", ["cell_type"], many, seed + first).withColumnRenamed("se", "label")))
+        into = sums.groupBy("perm", F.col("j").alias("se")).agg(F.sum("s").alias("w_in"), F.sum(F.when(F.col("i") == F.col("j"), F.col("s")).otherwise(0.0)).alias("w_both"))
+        out_of = sums.groupBy("perm", F.col("i").alias("se")).agg(F.sum("s").alias("w_out"))
+        every = sums.groupBy("perm").agg(F.sum("s").alias("w_all")).join(size)
+        both = every.join(into, ["perm", "se"], "left").join(out_of, ["perm", "se"], "left").na.fill(0.0, ["w_in", "w_both", "w_out"])
+        p = F.col("m") / F.col("n")
+        top = F.col("w_both") - p * (F.col("w_in") + F.col("w_out")) + p * p * F.col("w_all")
+        parts.append(checkpointed(both.select("perm", "se", ratio(top, F.col("n") * p * (1 - p)).alias("value"))))
+    return null_z(moran_index(edges, cells.select("cell_id", "se")), reduce(DataFrame.unionByName, parts), ["se"])
 
 
 # --- mixtures --------------------------------------------------------------------------------------------------------

@@ -274,44 +274,36 @@ def _cut(spark, sf_dir):
 # --- graphs ----------------------------------------------------------------------------------------------------------
 
 
-def _points_sql(which: str = "spot_id < 200") -> str:
-    return f"""pts AS (SELECT 'a' AS view, vec_id AS spot_id, list_transform(embedding[1:32], lambda v: CAST(v AS DOUBLE)) AS pc FROM embeddings UNION ALL SELECT 'b', vec_id, list_transform(embedding[33:64], lambda v: CAST(v AS DOUBLE)) FROM embeddings),
-p AS (SELECT * FROM pts WHERE {which}), near AS (SELECT a.view, a.spot_id AS q, b.spot_id AS r, list_distance(a.pc, b.pc) AS d FROM p a JOIN p b USING (view)),
+_POINTS = """p AS (SELECT 'a' AS view, vec_id AS spot_id, list_transform(embedding[1:32], lambda v: CAST(v AS DOUBLE)) AS pc FROM embeddings UNION ALL SELECT 'b', vec_id, list_transform(embedding[33:64], lambda v: CAST(v AS DOUBLE)) FROM embeddings),
+near AS (SELECT a.view, a.spot_id AS q, b.spot_id AS r, list_distance(a.pc, b.pc) AS d FROM p a JOIN p b USING (view)),
 k AS (SELECT *, row_number() OVER (PARTITION BY view, q ORDER BY CASE WHEN q = r THEN 0 ELSE d END, r) AS k FROM near)"""
 
 
 _SIM = """sim AS MATERIALIZED (SELECT view, r AS src, q AS dst, CASE WHEN q = r THEN 0.5 ELSE 1 / (d + 2) END AS w FROM k WHERE k <= 10)"""
 
 
-def _points(spark, sf_dir, below: int | None = 200) -> DataFrame:
-    """Points of the views; ``below``: the ids that the SQL takes, None for the whole table."""
-    views = embedding_views(spark, sf_dir)
-    return views if below is None else views.filter(F.col("spot_id") < below)
+@_query("knn_similarity", f"WITH {_POINTS}, {_SIM} SELECT view, src, dst, round(w, 6) AS w FROM sim")
+def _similarity(spark, sf_dir):
+    return _rounded(graph.similarity_graph(embedding_views(spark, sf_dir), 10), "w")
 
 
-@_query("knn_similarity", f"WITH {_points_sql()}, {_SIM} SELECT view, src, dst, round(w, 6) AS w FROM sim")
-def _similarity(spark, sf_dir, below=200):
-    return _rounded(graph.similarity_graph(_points(spark, sf_dir, below), 10), "w")
-
-
-@_query("snn_graph", f"""WITH {_points_sql()}, n AS (SELECT view, q, r FROM k WHERE k <= 10), s AS (SELECT view, a.q AS src, b.q AS dst, count(*) AS s FROM n a JOIN n b USING (view, r) GROUP BY 1, 2, 3)
+@_query("snn_graph", f"""WITH {_POINTS}, n AS (SELECT view, q, r FROM k WHERE k <= 10), s AS (SELECT view, a.q AS src, b.q AS dst, count(*) AS s FROM n a JOIN n b USING (view, r) GROUP BY 1, 2, 3)
 SELECT view, src, dst, round(s / (20 - s), 6) AS w FROM s WHERE s / (20 - s) >= 1.0 / 15""")
-def _snn(spark, sf_dir, below=200):
-    return _rounded(graph.shared_neighbours(_points(spark, sf_dir, below), 10), "w")
+def _snn(spark, sf_dir):
+    return _rounded(graph.shared_neighbours(embedding_views(spark, sf_dir), 10), "w")
 
 
-@_query("dominateset", f"""WITH {_points_sql()}, {_SIM}, t AS (SELECT *, row_number() OVER (PARTITION BY view, src ORDER BY w DESC, dst DESC) AS r FROM sim WHERE w <> 0)
+@_query("dominateset", f"""WITH {_POINTS}, {_SIM}, t AS (SELECT *, row_number() OVER (PARTITION BY view, src ORDER BY w DESC, dst DESC) AS r FROM sim WHERE w <> 0)
 SELECT view, src, dst, round(w, 6) AS w FROM t WHERE r <= 5""")
-def _dominate(spark, sf_dir, below=200):
-    return _rounded(graph.dominate_set(graph.similarity_graph(_points(spark, sf_dir, below), 10), 5), "w")
+def _dominate(spark, sf_dir):
+    return _rounded(graph.dominate_set(graph.similarity_graph(embedding_views(spark, sf_dir), 10), 5), "w")
 
 
-@_query("fillspots", f"WITH {_points_sql('CASE view WHEN $$a$$ THEN spot_id < 100 ELSE spot_id BETWEEN 50 AND 150 END')}, {_SIM} SELECT DISTINCT v.view, s.src AS spot_id FROM (SELECT DISTINCT view FROM sim) v, (SELECT src FROM sim UNION SELECT dst FROM sim) s")
-def _fill(spark, sf_dir, cut=True):
-    rows = embedding_views(spark, sf_dir)
-    if cut:
-        rows = rows.filter(F.when(F.col("view") == "a", F.col("spot_id") < 100).otherwise(F.col("spot_id").between(50, 150)))
-    return graph.fill_spots(graph.similarity_graph(rows, 10))
+@_query("fillspots", f"""WITH {_POINTS}, n AS (SELECT 'L' || label AS view, vec_id AS src FROM embeddings)
+SELECT DISTINCT v.view, s.src AS spot_id FROM (SELECT DISTINCT view FROM n) v, (SELECT src FROM n) s""")
+def _fill(spark, sf_dir):
+    points = table(spark, sf_dir, "embeddings").select(F.concat(F.lit("L"), "label").alias("view"), F.col("vec_id").alias("spot_id"), F.col("embedding").alias("pc"))
+    return graph.fill_spots(graph.similarity_graph(points, 10))
 
 
 def _norm_sql(of: str, out: str, nodes: str = "nodes") -> str:
@@ -322,19 +314,19 @@ def _norm_sql(of: str, out: str, nodes: str = "nodes") -> str:
 _NODES = "nodes AS (SELECT v.view, s.id FROM (SELECT DISTINCT view FROM sim) v, (SELECT src AS id FROM sim UNION SELECT dst FROM sim) s)"
 
 
-@_query("snf_normalize", f"WITH {_points_sql()}, {_SIM}, {_NODES}, {_norm_sql('sim', 'w1')} SELECT view, src, dst, round(w, 6) AS w FROM w1")
-def _snf_normalize(spark, sf_dir, below=200):
-    return _rounded(graph.normalized(checkpointed(graph.similarity_graph(_points(spark, sf_dir, below), 10))), "w")
+@_query("snf_normalize", f"WITH {_POINTS}, {_SIM}, {_NODES}, {_norm_sql('sim', 'w1')} SELECT view, src, dst, round(w, 6) AS w FROM w1")
+def _snf_normalize(spark, sf_dir):
+    return _rounded(graph.normalized(checkpointed(graph.similarity_graph(embedding_views(spark, sf_dir), 10))), "w")
 
 
-@_query("snf_one_round", f"""WITH {_points_sql('spot_id < 80')}, {_SIM}, {_NODES}, {_norm_sql('sim', 'w1')},
+@_query("snf_one_round", f"""WITH {_POINTS}, {_SIM}, {_NODES}, {_norm_sql('sim', 'w1')},
 dom AS MATERIALIZED (SELECT view, src, dst, w FROM (SELECT *, row_number() OVER (PARTITION BY view, src ORDER BY w DESC, dst DESC) AS r FROM w1 WHERE w <> 0) WHERE r <= 10), {_norm_sql('dom', 'pn')},
 y AS MATERIALIZED (SELECT p.view, p.src AS i, o.dst AS l, sum(p.w * o.w) AS y FROM pn p JOIN w1 o ON o.view <> p.view AND o.src = p.dst GROUP BY 1, 2, 3),
 x AS MATERIALIZED (SELECT y.view, i AS src, q.src AS dst, sum(y * q.w) AS w FROM y JOIN pn q ON q.view = y.view AND q.dst = l GROUP BY 1, 2, 3), {_norm_sql('x', 'w2')}
 SELECT src, dst, round(sum(w) / count(*) FILTER (w > 0), 6) AS w FROM w2 GROUP BY 1, 2 HAVING sum(w) <> 0""")
-def _snf_round(spark, sf_dir, below=80):
-    now = checkpointed(graph.normalized(checkpointed(graph.similarity_graph(_points(spark, sf_dir, below), 10))))
-    near = checkpointed(graph.normalized(checkpointed(graph.dominate_set(now, 10, below))))
+def _snf_round(spark, sf_dir):
+    now = checkpointed(graph.normalized(checkpointed(graph.similarity_graph(embedding_views(spark, sf_dir), 10))))
+    near = checkpointed(graph.normalized(checkpointed(graph.dominate_set(now, 10))))
     return _rounded(graph.combined(graph.fusion_round(now, near, 2)), "w")
 
 
@@ -375,7 +367,7 @@ def _some_outside(cells: DataFrame) -> DataFrame:
     return cells.withColumn("se", F.when(F.col("cell_id") % 11 == 0, "NonSE").otherwise(F.col("se")))
 
 
-_COASSOC = f"""WITH {_EV}, c AS (SELECT 'S' || (cell_id // 250) AS sample, cell_type AS ct, CASE WHEN cell_id % 11 = 0 THEN 'NonSE' ELSE se END AS se FROM cells_ev WHERE cell_id < 5000),
+_COASSOC = f"""WITH {_EV}, c AS (SELECT 'S' || (cell_id // 250) AS sample, cell_type AS ct, CASE WHEN cell_id % 11 = 0 THEN 'NonSE' ELSE se END AS se FROM cells_ev),
 st AS (SELECT DISTINCT se || '_' || ct AS state FROM c WHERE se <> 'NonSE'),
 n AS (SELECT k, sample, ct, se, count(*) AS n FROM c, (VALUES (0), (1)) v(k) WHERE k = 0 OR se <> 'NonSE' GROUP BY 1, 2, 3, 4),
 f AS (SELECT k, sample, se || '_' || ct AS state, v, se FROM (SELECT *, n / sum(n) OVER (PARTITION BY k, sample, ct) AS v FROM n) WHERE se <> 'NonSE'),
@@ -386,60 +378,54 @@ r AS (SELECT m.i, m.j, greatest(-1, least(1, sum((a.v - mx) * (b.v - my)) / sqrt
 mat AS (SELECT s.state AS i, t.state AS j, coalesce(avg(r.r), 0) AS value FROM st s CROSS JOIN st t LEFT JOIN r ON r.i = s.state AND r.j = t.state GROUP BY 1, 2)"""
 
 
-def _coassociation_matrix(spark, sf_dir, below: int | None = 5000) -> DataFrame:
-    events = cells_of_events(spark, sf_dir)
-    cells = _some_outside(events if below is None else events.filter(F.col("cell_id") < below)).withColumn("sample", F.concat(F.lit("S"), F.floor(F.col("cell_id") / 250)))
+def _coassociation_matrix(spark, sf_dir) -> DataFrame:
+    cells = _some_outside(cells_of_events(spark, sf_dir)).withColumn("sample", F.concat(F.lit("S"), F.floor(F.col("cell_id") / 250)))
     return statistics.coassociation(cells)
 
 
 @_query("coassociation", f"{_COASSOC} SELECT i, j, round(value, 6) AS value FROM mat")
-def _coassociation(spark, sf_dir, below=5000):
-    return _rounded(_coassociation_matrix(spark, sf_dir, below))
+def _coassociation(spark, sf_dir):
+    return _rounded(_coassociation_matrix(spark, sf_dir))
 
 
 @_query("coassociation_null", f"""{_COASSOC}, masked AS (SELECT i, j, CASE WHEN i <> j THEN value END AS value FROM mat), s AS (SELECT state, row_number() OVER (ORDER BY state) AS at FROM st),
-d AS (SELECT p.perm, state, row_number() OVER (PARTITION BY p.perm ORDER BY md5('1|' || p.perm || '|' || state), state) AS at FROM st, range(1, 6) p(perm)),
+d AS (SELECT p.perm, state, row_number() OVER (PARTITION BY p.perm ORDER BY md5('1|' || p.perm || '|' || state), state) AS at FROM st, range(1, 201) p(perm)),
 mv AS (SELECT d.perm, m.i, d.state AS j, m.value FROM d JOIN s ON s.at = d.at JOIN masked m ON m.j = s.state)
 SELECT perm, split_part(i, '_', 1) AS se, round(avg(value), 6) AS value FROM mv WHERE split_part(i, '_', 1) = split_part(j, '_', 1) GROUP BY 1, 2""")
-def _coassociation_null(spark, sf_dir, below=5000, nperm=5):
-    return _rounded(statistics.coassociation_null(_coassociation_matrix(spark, sf_dir, below), nperm))
+def _coassociation_null(spark, sf_dir, nperm=200):
+    return _rounded(statistics.coassociation_null(_coassociation_matrix(spark, sf_dir), nperm))
 
 
-_COLOC = f"""{_EV}, c AS (SELECT cell_id, x, y, cell_type, se || '_' || cell_type AS state FROM cells_ev WHERE cell_id < 3000),
+_COLOC = f"""{_EV}, c AS (SELECT cell_id, x, y, cell_type, se || '_' || cell_type AS state FROM cells_ev),
 near AS (SELECT a.cell_id AS q, b.cell_id AS r, row_number() OVER (PARTITION BY a.cell_id ORDER BY (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y), CASE WHEN a.cell_id = b.cell_id THEN 0 ELSE 1 END, b.cell_id) AS k
   FROM c a JOIN c b ON (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 6400 AND b.x BETWEEN a.x - 80 AND a.x + 80),
 e AS (SELECT q, r, count(*) OVER (PARTITION BY q) AS n FROM near WHERE k BETWEEN 2 AND 50), u AS (SELECT * FROM e WHERE n >= 5),
 pl AS (SELECT cell_id, cell_type, state, row_number() OVER (PARTITION BY cell_type ORDER BY cell_id) AS k FROM c),
-dr AS (SELECT p.perm, cell_id, cell_type, row_number() OVER (PARTITION BY p.perm, cell_type ORDER BY md5('1|' || p.perm || '|' || cell_id), cell_id) AS k FROM c, range(1, 6) p(perm)),
+dr AS (SELECT p.perm, cell_id, cell_type, row_number() OVER (PARTITION BY p.perm, cell_type ORDER BY md5('1|' || p.perm || '|' || cell_id), cell_id) AS k FROM c, range(1, 21) p(perm)),
 lab AS (SELECT 0 AS perm, cell_id, state FROM c UNION ALL SELECT dr.perm, dr.cell_id, pl.state FROM dr JOIN pl USING (cell_type, k)),
 m AS (SELECT perm, state AS i, count(*) AS m FROM lab WHERE cell_id IN (SELECT q FROM u) GROUP BY 1, 2),
 s AS (SELECT a.perm, a.state AS i, b.state AS j, sum(1 / n) AS s FROM u JOIN lab a ON a.cell_id = q JOIN lab b ON b.cell_id = r AND b.perm = a.perm GROUP BY 1, 2, 3),
 mat AS (SELECT m.perm, m.i, t.state AS j, coalesce(s, 0) / m AS value FROM m CROSS JOIN (SELECT DISTINCT state FROM c) t LEFT JOIN s ON s.perm = m.perm AND s.i = m.i AND s.j = t.state)"""
 
 
-def _near_cells(spark, sf_dir, below: int | None = 3000) -> DataFrame:
-    events = cells_of_events(spark, sf_dir)
-    return events if below is None else events.filter(F.col("cell_id") < below)
-
-
 @_query("colocalization_observed", f"WITH {_COLOC} SELECT i, j, round(value, 6) AS value FROM mat WHERE perm = 0")
-def _colocalization(spark, sf_dir, below=3000):
-    cells = _near_cells(spark, sf_dir, below)
+def _colocalization(spark, sf_dir):
+    cells = cells_of_events(spark, sf_dir)
     states = cells.select("cell_id", statistics.cell_state(F.col("se"), F.col("cell_type")).alias("state"))
     return _rounded(statistics.colocalization_matrix(statistics.neighbour_edges(cells, 80, 50), states, 5))
 
 
 @_query("colocalization_z", f"""WITH {_COLOC}, n AS (SELECT i, j, avg(value) AS m, stddev_samp(value) AS sd FROM mat WHERE perm > 0 GROUP BY 1, 2)
 SELECT i, j, round(value, 6) AS value, round((value - m) / CASE WHEN sd > 1e-9 THEN sd ELSE 1 END, 4) AS zscore FROM mat JOIN n USING (i, j) WHERE perm = 0""")
-def _colocalization_z(spark, sf_dir, below=3000, nperm=5):
-    out = statistics.colocalization(_near_cells(spark, sf_dir, below), 80, 50, 5, nperm=nperm)
+def _colocalization_z(spark, sf_dir, nperm=20):
+    out = statistics.colocalization(cells_of_events(spark, sf_dir), 80, 50, 5, nperm=nperm)
     return out.select("i", "j", F.round("value", 6).alias("value"), F.round("zscore", 4).alias("zscore"))
 
 
 _MORAN = f"""{_CU}, near AS (SELECT a.cell_id AS q, b.cell_id AS r, row_number() OVER (PARTITION BY a.cell_id ORDER BY (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y), b.cell_id) AS k
   FROM cells_cu a JOIN cells_cu b ON a.cell_id <> b.cell_id AND b.x BETWEEN a.x - 60 AND a.x + 60 AND b.y BETWEEN a.y - 60 AND a.y + 60), e AS (SELECT q, r FROM near WHERE k <= 3),
 pl AS (SELECT cell_type, se, row_number() OVER (PARTITION BY cell_type ORDER BY cell_id) AS k FROM cells_cu),
-dr AS (SELECT p.perm, cell_id, cell_type, row_number() OVER (PARTITION BY p.perm, cell_type ORDER BY md5('1|' || p.perm || '|' || cell_id), cell_id) AS k FROM cells_cu, range(1, 6) p(perm)),
+dr AS (SELECT p.perm, cell_id, cell_type, row_number() OVER (PARTITION BY p.perm, cell_type ORDER BY md5('1|' || p.perm || '|' || cell_id), cell_id) AS k FROM cells_cu, range(1, 201) p(perm)),
 lab AS (SELECT 0 AS perm, cell_id, se FROM cells_cu UNION ALL SELECT perm, cell_id, se FROM dr JOIN pl USING (cell_type, k)),
 n AS (SELECT count(*)::DOUBLE AS n FROM cells_cu), m AS (SELECT perm, se, count(*) / first(n) AS p FROM lab, n GROUP BY 1, 2),
 z AS (SELECT l.perm, m.se, l.cell_id, CASE WHEN l.se = m.se THEN 1 ELSE 0 END - m.p AS z FROM lab l JOIN m USING (perm)),
@@ -456,7 +442,7 @@ def _moran(spark, sf_dir):
 @_query("moran_z", f"""WITH {_MORAN}, s AS (SELECT se, avg(value) AS m, stddev_samp(value) AS sd FROM i WHERE perm > 0 GROUP BY 1)
 SELECT se, round(value, 6) AS value, round((value - m) / CASE WHEN sd > 0 THEN sd ELSE 1 END, 5) AS zscore FROM i JOIN s USING (se) WHERE perm = 0""")
 def _moran_z(spark, sf_dir):
-    out = statistics.normalized_moran(cells_of_customers(spark, sf_dir), 5)
+    out = statistics.normalized_moran(cells_of_customers(spark, sf_dir), 200)
     return out.select("se", F.round("value", 6).alias("value"), F.round("zscore", 5).alias("zscore"))
 
 
@@ -550,12 +536,12 @@ def _pc_list(spark, sf_dir):
 
 @_query("snf_full")
 def _snf(spark, sf_dir):
-    return graph.fuse(graph.similarity_graph(_points(spark, sf_dir, None), 20))
+    return graph.fuse(graph.similarity_graph(embedding_views(spark, sf_dir), 20))
 
 
 @_query("louvain_clusters")
 def _louvain(spark, sf_dir):
-    return clustering.find_clusters(graph.shared_neighbours(_points(spark, sf_dir, None), 20))
+    return clustering.find_clusters(graph.shared_neighbours(embedding_views(spark, sf_dir), 20))
 
 
 _SMALL = {"radius": 50, "n_features": 25, "min_types": 1, "npcs": 10, "min_cells": 3, "min_features": 5, "iterations": 5, "k": 10, "k_graph": 20}
@@ -616,35 +602,9 @@ def _consensus(spark, sf_dir):
 
 @_query("colocalization_test")
 def _colocalization_test(spark, sf_dir):
-    return statistics.colocalization(_near_cells(spark, sf_dir, None), 80, 50, 5)
+    return statistics.colocalization(cells_of_events(spark, sf_dir), 80, 50, 5, nperm=200)
 
 
 @_query("coassociation_test")
 def _coassociation_test(spark, sf_dir):
-    return statistics.coassociation_test(_coassociation_matrix(spark, sf_dir, None))
-
-
-# --- whole tables: the queries above whose SQL takes the smallest ids only ---------------------------------------------
-
-
-def _all_points(make):
-    return lambda spark, sf_dir: make(spark, sf_dir, None)
-
-
-for _name, _make in {"knn_similarity": _similarity, "snn_graph": _snn, "dominateset": _dominate, "snf_normalize": _snf_normalize, "snf_one_round": _snf_round, "coassociation": _coassociation, "colocalization_observed": _colocalization}.items():
-    _query(f"{_name}_all")(_all_points(_make))
-
-
-@_query("fillspots_all")
-def _fill_all(spark, sf_dir):
-    return _fill(spark, sf_dir, False)
-
-
-@_query("coassociation_null_all")
-def _coassociation_null_all(spark, sf_dir):
-    return _coassociation_null(spark, sf_dir, None, 1000)
-
-
-@_query("colocalization_z_all")
-def _colocalization_z_all(spark, sf_dir):
-    return _colocalization_z(spark, sf_dir, None, 1000)
+    return statistics.coassociation_test(_coassociation_matrix(spark, sf_dir))
