@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -13,3 +14,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="vicinage-"))
     return df.checkpoint()
+
+
+def numbered(df: DataFrame, key: str, name: str = "n") -> DataFrame:
+    """The rows with their number by ``key``, from 1, and written: ranges of the key are sorted in tasks of their own, and only the
+    number of rows of each range goes through the driver."""
+    rows = df.repartitionByRange(F.col(key)).sortWithinPartitions(key).withColumn("__at", F.monotonically_increasing_id())
+    rows = checkpointed(rows)
+    part, before, offsets = F.shiftright("__at", 33), 0, []
+    for r in rows.groupBy(part.alias("part")).count().orderBy("part").collect():
+        offsets.append((r["part"], before))
+        before += r["count"]
+    first = df.sparkSession.createDataFrame(offsets, "__part long, __first long")
+    found = rows.withColumn("__part", part).join(F.broadcast(first), "__part")
+    return found.withColumn(name, F.col("__first") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("__at", "__part", "__first")

@@ -333,7 +333,7 @@ def _snf_round(spark, sf_dir):
 def _columns(spark, sf_dir) -> DataFrame:
     """Profiles by market segment, sample and thirds of nations, as columns of a network."""
     cells = cells_of_customers(spark, sf_dir).select("cell_id", F.col("cell_type").alias("view"), "sample", F.concat_ws("..", "sample", "se").alias("col"))
-    e = expression.normalize(expression_of_customers(spark, sf_dir)).join(cells, "cell_id")
+    e = expression.normalize(checkpointed(expression_of_customers(spark, sf_dir))).join(cells, "cell_id")
     return e.groupBy("view", "sample", "col", "gene").agg(F.avg("value").alias("value"))
 
 
@@ -549,13 +549,13 @@ _SMALL = {"radius": 50, "n_features": 25, "min_types": 1, "npcs": 10, "min_cells
 
 @_query("spatial_communities")
 def _communities(spark, sf_dir):
-    finder = communities.CommunityFinder(expression_of_customers(spark, sf_dir), cells_of_customers(spark, sf_dir), **_SMALL)
+    finder = communities.CommunityFinder(checkpointed(expression_of_customers(spark, sf_dir)), cells_of_customers(spark, sf_dir), **_SMALL)
     return finder.run().se
 
 
 def _trained(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
-    e, c = expression_of_customers(spark, sf_dir), cells_of_customers(spark, sf_dir)
-    return e, c, communities.train_models(e, c)
+    e, c = checkpointed(expression_of_customers(spark, sf_dir)), cells_of_customers(spark, sf_dir)
+    return e, c, checkpointed(communities.train_models(e, c))
 
 
 @_query("nmf_fit_w")
@@ -585,7 +585,7 @@ def _deconvolute(spark, sf_dir):
 
 @_query("loocv_predict")
 def _loocv(spark, sf_dir):
-    return communities.cross_predicted(expression_of_customers(spark, sf_dir), cells_of_customers(spark, sf_dir), min_cells=5)
+    return communities.cross_predicted(checkpointed(expression_of_customers(spark, sf_dir)), cells_of_customers(spark, sf_dir), min_cells=5)
 
 
 @_query("integrate_samples")
@@ -593,6 +593,14 @@ def _integrate(spark, sf_dir):
     return communities.integrate(_columns(spark, sf_dir), min_features=3)
 
 
+@_query("several_samples")
+def _several(spark, sf_dir):
+    e, c = checkpointed(expression_of_customers(spark, sf_dir)), cells_of_customers(spark, sf_dir)
+    options = communities.Options(**{**_SMALL, "min_types": 1})
+    clusters, cells = communities.several_samples(e.join(c.select("cell_id", "sample"), "cell_id"), c, [2, 3], options, runs=5, n_features=25, min_features=3, sub_resolution=5)
+    return cells.select("sample", "cell_id", "init_se", "se")
+
+
 @_query("nmf_consensus")
 def _consensus(spark, sf_dir):
     net = communities.integrate(_columns(spark, sf_dir), min_features=3)
