@@ -23,29 +23,6 @@ def test_query_equals_sql(spark, duck, sf_dir, name):
         assert [x for x in a if isinstance(x, float)] == pytest.approx([x for x in b if isinstance(x, float)], abs=2e-6)
 
 
-@pytest.mark.parametrize("name", ["knn_similarity", "snn_graph", "dominateset", "snf_normalize", "snf_one_round", "fillspots", "coassociation", "colocalization_observed"])
-def test_whole_table_equals_sql_without_its_cut(spark, duck, sf_dir, name):
-    """The larger tables hold rows beyond every cut of the SQL, which is run here without it."""
-    import duckdb
-
-    sql, con = catalog.SQL[name], duck
-    for cut in ("spot_id < 200", "spot_id < 80", "CASE view WHEN $$a$$ THEN spot_id < 100 ELSE spot_id BETWEEN 50 AND 150 END", "cell_id < 5000", "cell_id < 3000"):
-        sql = sql.replace(f"WHERE {cut}", "")
-    assert sql != catalog.SQL[name]
-    if "events" in sql:
-        sf_dir, con = sf_dir.replace("sf0.001", "sf0.01"), duckdb.connect()
-        con.sql(f"CREATE VIEW events AS SELECT * FROM '{sf_dir}/events.parquet'")
-    df = catalog.QUERIES[f"{name}_all"](spark, sf_dir)
-    want = con.sql(sql)
-    columns = [c for c in want.columns if c in ("view", "src", "dst", "spot_id", "i", "j")]
-    values = [c for c in want.columns if c not in columns]
-    key = lambda r, at: tuple(str(r[c]) for c in at)
-    expected = {key(r, map(want.columns.index, columns)): [r[want.columns.index(c)] for c in values] for r in want.fetchall()}
-    got = {key(r, columns): [r[c] for c in values] for r in df.collect()}
-    assert got.keys() == expected.keys()
-    assert all(got[k] == pytest.approx(expected[k], abs=2e-6) for k in got)
-
-
 def test_queries_without_sql_take_whole_tables(spark, sf_dir):
     n = spark.read.parquet(f"{sf_dir}/embeddings.parquet").filter("vec_id < 700").count()
     points = spark.read.parquet(f"{sf_dir}/embeddings.parquet").selectExpr("vec_id", "embedding").union(spark.read.parquet(f"{sf_dir}/embeddings.parquet").selectExpr("vec_id + 10000", "reverse(embedding)"))
