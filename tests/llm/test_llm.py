@@ -488,6 +488,27 @@ def test_quality_pooling_covers_the_whole_text(spark):
     assert quality.score(frame(spark, []), net).count() == 0
 
 
+def plain_quality(text, net):
+    """The network's answer by loops: each filter at each byte, chunks of 256 bytes that share 32, their largest responses."""
+    x = [*(text or "").encode()]
+    if not x:
+        return 1 / (1 + math.exp(-float(net.c[0])))
+    z = [[max(0.0, float(net.b[f]) + sum(float(net.w[j][(x[p + j] if p + j < len(x) else 0)][f]) for j in range(4))) for f in range(len(net.b))] for p in range(len(x))]
+    blocks = -(-len(x) // 32)
+    chunks = [z[32 * s : 32 * min(s + 8, blocks)] for s in range(0, max(1, blocks - 1), 7)]
+    top = [[max(row[f] for row in c) for f in range(len(net.b))] for c in chunks]
+    features = [sum(t[f] for t in top) / len(top) for f in range(len(net.b))] + [max(t[f] for t in top) for f in range(len(net.b))]
+    return 1 / (1 + math.exp(-sum(a * b for a, b in zip(features, net.a.tolist())) - float(net.c[0])))
+
+
+def test_quality_scores_equal_plain_loops(spark, documents):
+    net = quality.fit([t.encode() for _, t in documents[:40]], [i % 2 for i in range(40)])
+    texts = ["", None, "a", "abc", "x" * 31, "y z " * 8, "é" * 40, "w" * 256, "word " * 52, "line\n" * 200, documents[0][1][:900], documents[1][1][:1500]]
+    got = {r.doc_id: r.score for r in quality.score(frame(spark, list(enumerate(texts))), net).collect()}
+    for i, text in enumerate(texts):
+        assert got[i] == pytest.approx(plain_quality(text, net), abs=1e-5)
+
+
 # --- nearest neighbours
 
 
@@ -545,5 +566,25 @@ def test_pipeline_stages(spark, sf_dir):
     assert {r.doc_id for r in kept.collect()} == want and kept.columns == docs.columns
     clean = dict(corpus_pipeline.STAGES)["pii"](spark, docs, sf_dir)
     assert all(not plain_spans(r.text) for r in clean.collect()) and clean.columns == docs.columns
+    good = {r.doc_id for r in corpus_pipeline.keep_good(spark, docs, sf_dir).collect()}
+    groups = brute.jaccard_components([r for r in rows if r[0] in good], 5, 80)
     out = corpus_pipeline.run(spark, sf_dir)
-    assert {r.doc_id for r in out.select("doc_id").distinct().collect()} <= want | {i for i, _ in rows}
+    assert {r.doc_id for r in out.select("doc_id").distinct().collect()} == {i for i, (_, c) in groups.items() if i == c}
+
+
+def test_pipeline_odd_documents(spark, sf_dir):
+    import corpus_pipeline
+
+    long = " ".join(f"w{i}" for i in range(30_000))
+    rows = [(1, None, "en", None, None), (2, "", None, "s", 0), (None, "mail a@b.co now and then", "en", "s", 24), (3, long, "en", "s", len(long)), (4, long + " end", "en", "s", 1), (5, "same five words in here now", "en", "s", 5), (5, "same five words in here now", "en", "s", 5), (None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", "'x' AS id", "'x' AS component_id", "'x' AS score", "'x' AS pii_spans")
+    for table in (docs, docs.limit(0)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, table, sf_dir)
+            assert out.columns == docs.columns and (name == "quality" or out.count() == (7 if name == "near_duplicates" else 8) * bool(table.take(1)))
+        packed = dict(corpus_pipeline.STAGES)["packing"](spark, table, sf_dir)
+        assert packed.select("doc_id").distinct().count() == (6 if table is docs else 0)
+    kept = corpus_pipeline.keep_one_of_each_group(spark, docs, sf_dir).collect()
+    assert sorted(r.doc_id or 0 for r in kept) == [0, 0, 1, 2, 3, 5, 5]
+    clean = {(r.doc_id, r.text): r.n_chars for r in corpus_pipeline.redact(spark, docs, sf_dir).collect()}
+    assert clean[None, "mail [EMAIL] now and then"] == 25 and clean[1, None] is None and clean[2, ""] == 0
