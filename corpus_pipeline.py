@@ -8,6 +8,11 @@ documents. Between stages the rows are a written table, so that a stage that rea
    Rows with a null id stay.
 3. Personal data in the texts is replaced by its kind in brackets; n_chars follows the new text.
 4. The texts are packed into sequences of 2048 tokens.
+
+Cases: a null or empty text is scored like an empty one, has no duplicates and no personal data, and is packed as its end alone; a
+redacted null text stays null, with null n_chars. Texts of any length are worked on whole. Rows of one id stay or go together,
+unless their texts differ; of groups that tie, the smallest id stays. An empty table gives empty stages. Extra columns go
+through all stages but the last, also those named like an operator's own.
 """
 
 from __future__ import annotations
@@ -44,7 +49,9 @@ STAGES = [("quality", keep_good), ("near_duplicates", keep_one_of_each_group), (
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES[:-1]:
-        docs, _ = tables.written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs, path = tables.written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        tables.drop(spark, *before)  # only the last stage's table is still read
+        before = [path]
     return STAGES[-1][1](spark, docs, sf_dir)
