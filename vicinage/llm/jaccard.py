@@ -314,9 +314,10 @@ def _sizes(texts: DataFrame, width: int) -> DataFrame:
 
 
 def _entries(texts: DataFrame, width: int, percent: int, plan: dict, ends: bool = False) -> DataFrame:
-    """(sig, id) of all index entries; with ``ends`` (sig, low, high), the smallest and the largest id of each entry in a slab."""
+    """(sig, id) of all index entries; with ``ends`` (sig, low, span), of each entry in a slab the smallest id and the largest less
+    the smallest."""
     bounds = np.array(band_bounds(percent), np.int64)
-    names = ["sig", "low", "high"] if ends else ["sig", "id"]
+    names = ["sig", "low", "span"] if ends else ["sig", "id"]
 
     def run(batches):
         for batch in batches:
@@ -328,7 +329,8 @@ def _entries(texts: DataFrame, width: int, percent: int, plan: dict, ends: bool
                 if ends and len(sig):
                     order = np.argsort(sig, kind="stable")
                     starts = np.flatnonzero(np.concatenate([[True], np.diff(sig[order]) != 0]))
-                    columns = [columns[0][order][starts], *(f.reduceat(columns[1][order], starts) for f in (np.minimum, np.maximum))]
+                    low, high = (f.reduceat(columns[1][order], starts) for f in (np.minimum, np.maximum))
+                    columns = [columns[0][order][starts], low, high - low]
                 elif ends:
                     columns.append(columns[1])
                 for k in range(0, len(columns[0]), 200_000):
@@ -376,9 +378,11 @@ def _components_of(rows: DataFrame, width: int, percent: int) -> DataFrame:
     plan = allocate(counts, percent)
 
     # Entries are made twice: once to find those of several documents, and once more to keep only those. Most are of one document,
-    # so the first shuffle takes rows that a slab has combined, and no further map-side tables.
+    # so the first shuffle takes rows that a slab has combined, without further map-side tables. Least and greatest of structs are
+    # found by sorting, which spills, and not in a hash table of all entries.
     alone = tables.only_ids(texts, "id", heads.filter("id <> head").select("id").distinct(), "left_anti")
-    ends = _entries(alone, width, percent, plan, True).repartition("sig").groupBy("sig").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    ends = _entries(alone, width, percent, plan, True).repartition("sig").groupBy("sig")
+    ends = ends.agg(F.min(F.struct("low")).alias("a"), F.max(F.struct((F.col("low") + F.col("span")).alias("high"))).alias("b")).select("sig", "a.low", "b.high")
     shared, shared_path = tables.written(ends.filter("low <> high"), "shared")
     entries, entries_path = tables.written(_entries(alone, width, percent, plan).join(tables.small(shared), "sig"), "entries")
     tables.drop(spark, shared_path)
