@@ -213,6 +213,13 @@ def test_every_link_is_found_and_counted(spark, documents, monkeypatch):
     assert jaccard.similarity_links(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("made, sql", [(jaccard.query, jaccard.SQL), (jaccard.links_query, jaccard.LINKS_SQL)])
+def test_similarity_join_equals_its_sql(spark, duck, sf_dir, made, sql):
+    got, want = made(spark, sf_dir), duck.sql(sql)
+    at = [want.columns.index(c) for c in got.columns]
+    assert sorted(map(tuple, got.collect())) == sorted(tuple(r[i] for i in at) for r in want.fetchall())
+
+
 @pytest.mark.parametrize("width", [3, 5])
 def test_slabs_of_fewer_words_than_a_shingle(width):
     import pyarrow as pa

@@ -538,6 +538,18 @@ def similarity_links(df: DataFrame, key: str = "doc_id", text: str = "text", wid
     return found.join(same.join(other, "head", "left"), "head", "left").select(key, "n_shingles", "component_id", (F.coalesce("copies", zero) + F.coalesce("links", zero)).alias("n_links"))
 
 
+_LINKED = r"""WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) END) AS shingle FROM words),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b USING (shingle) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+link AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 90 * (x.n + y.n - c)),
+reach AS (SELECT doc_id AS id, doc_id AS other FROM documents UNION SELECT id, b FROM reach JOIN link ON a = other),
+component AS (SELECT id AS doc_id, min(other) AS component_id FROM reach GROUP BY 1)"""
+SQL = _LINKED + " SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM documents JOIN component USING (doc_id) LEFT JOIN n USING (doc_id)"
+LINKS_SQL = _LINKED + """ SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, coalesce(k, 0) AS n_links FROM documents JOIN component USING (doc_id)
+LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a AS doc_id, count(*) AS k FROM link GROUP BY 1) USING (doc_id)"""
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return similarity_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 

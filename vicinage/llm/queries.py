@@ -19,5 +19,7 @@ QUERIES = {
 }
 
 SQL: dict[str, str] = {
+    "op3_ngram_jaccard_join": jaccard.SQL,
+    "op3_ngram_jaccard_links": jaccard.LINKS_SQL,
     "op6_chat_format": chat.SQL,
 }
