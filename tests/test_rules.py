@@ -40,6 +40,19 @@ def test_neighbours_of_far_and_unplaced_points(spark):
     assert got == {(1, 4), (1, 3), (4, 0), (4, 1)}
 
 
+def test_spot_weights_rules(spark):
+    cells = points(spark, [(i, i, 0) for i in range(8)], "cell_id")
+    spots = points(spark, [(i, i, 1) for i in range(6)], "spot_id")
+    got = spatial.spot_weights(cells, spots, 3, 2.0).collect()
+    of = {s: sorted(r.cell_id for r in got if r.spot_id == s) for s in range(6)}
+    assert of[0] == [0, 1] and of[3] == [2, 3, 4] and all(r.w == 1 / len(of[r.spot_id]) for r in got)
+    assert {r.spot_id for r in spatial.spot_weights(cells, spots, 3, 2.0, min_cells=3).collect()} == {1, 2, 3, 4, 5}
+    assert spatial.spot_weights(cells, spots.filter("spot_id < 4"), 3, 2.0).count() == 0  # fewer than five spots
+    few = spatial.spot_weights(cells.filter("cell_id < 3"), spots, 9, 20.0).collect()
+    assert {sum(r.spot_id == s for r in few) for s in range(6)} == {2}  # of fewer cells than asked for, all but one
+    assert spatial.spot_weights(cells.limit(0), spots, 3, 2.0).count() == 0
+
+
 def test_numbers_follow_the_key(spark):
     rows = [(f"s{i:03d}", i) for i in (5, 3, 99, 42, 7, 0)]
     got = {r.spot_id: r.n for r in numbered(spark.createDataFrame(rows, "spot_id string, i int"), "spot_id").collect()}

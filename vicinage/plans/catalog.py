@@ -82,12 +82,21 @@ def _ncells(spark, sf_dir):
     return ranking.infer_ncells(totals, average=5).select("cell_id", "total", F.col("n_cells").cast("long").alias("n_cells"))
 
 
-@_query("metacells", f"""WITH {_CU}, {_EX}, {_grid("cells_cu", 70, "spots")},
+_MEMBERS = f"""{_grid("cells_cu", 70, "spots")},
 big AS (SELECT cell_type FROM cells_cu GROUP BY 1 HAVING count(*) > 10),
 near AS (SELECT s.spot_id, c.cell_type, c.cell_id, row_number() OVER (PARTITION BY s.spot_id, c.cell_type ORDER BY (s.x - c.x) * (s.x - c.x) + (s.y - c.y) * (s.y - c.y), c.cell_id) AS k
   FROM spots s JOIN cells_cu c ON (s.x - c.x) * (s.x - c.x) + (s.y - c.y) * (s.y - c.y) <= 2500 WHERE c.cell_type IN (SELECT cell_type FROM big)),
 mem AS (SELECT *, count(*) OVER (PARTITION BY spot_id, cell_type) AS n FROM near WHERE k <= 10),
-ok AS (SELECT cell_type FROM mem GROUP BY 1 HAVING count(DISTINCT spot_id) > 2)
+ok AS (SELECT cell_type FROM mem GROUP BY 1 HAVING count(DISTINCT spot_id) >= 5)"""
+
+
+@_query("spot_weights", f"WITH {_CU}, {_MEMBERS} SELECT cell_type, spot_id, cell_id, round(1 / n, 6) AS w FROM mem WHERE cell_type IN (SELECT cell_type FROM ok)")
+def _spot_weights(spark, sf_dir):
+    cells = cells_of_customers(spark, sf_dir)
+    return _rounded(spatial.spot_weights(cells, spatial.grid_spots(cells, 70), 10, 50, by=["cell_type"]), "w")
+
+
+@_query("metacells", f"""WITH {_CU}, {_EX}, {_MEMBERS}
 SELECT spot_id, cell_type, gene, round(sum(value) / first(n), 6) AS value FROM mem JOIN expr_cu USING (cell_id) WHERE cell_type IN (SELECT cell_type FROM ok) GROUP BY 1, 2, 3""")
 def _metacells(spark, sf_dir):
     cells = cells_of_customers(spark, sf_dir)
