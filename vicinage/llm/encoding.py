@@ -15,13 +15,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from .textbytes import SLAB_BYTES, slabs, span_hashes
+from .textbytes import slabs, span_hashes
 
 #: Bytes after which a following space starts a new piece: visible ASCII. (A letter À-ÿ ends with 0x80-0xBF after 0xC3.)
 _VISIBLE = np.zeros(256, bool)
 _VISIBLE[0x21:0x7F] = True
 #: A task remembers the results of so many distinct pieces, then starts anew.
 SEEN_PIECES = 1_000_000
+#: Bytes of text that a task works on at once.
+SLAB = 1 << 20
 
 _encoders: dict = {}
 
@@ -103,7 +105,7 @@ class SeenPieces:
         return self.begin[at], self.size[at]
 
 
-def encoded_slabs(column: pa.Array, encode, added: tuple[str, ...] = (), seen: SeenPieces | None = None, limit: int = SLAB_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def encoded_slabs(column: pa.Array, encode, added: tuple[str, ...] = (), seen: SeenPieces | None = None, limit: int = SLAB) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Yield (first row, ids, offsets of the rows' ids) for consecutive rows of a text column; null counts as empty.
     ``encode``: the ids of one piece; ``seen``: earlier pieces, kept by the caller."""
     seen = SeenPieces() if seen is None else seen
