@@ -384,7 +384,7 @@ def _components_of(rows: DataFrame, width: int, percent: int) -> DataFrame:
     ends = _entries(alone, width, percent, plan, True).repartition("sig").groupBy("sig")
     ends = ends.agg(F.min(F.struct("low")).alias("a"), F.max(F.struct((F.col("low") + F.col("span")).alias("high"))).alias("b")).select("sig", "a.low", "b.high")
     shared, shared_path = tables.written(ends.filter("low <> high"), "shared")
-    entries, entries_path = tables.written(_entries(alone, width, percent, plan).join(tables.small(shared), "sig"), "entries")
+    entries, entries_path = tables.written(_entries(alone, width, percent, plan).join(shared.hint("shuffle_hash"), "sig"), "entries")
     tables.drop(spark, shared_path)
     pairs = entries.select(F.col("low").alias("a"), F.col("id").alias("b")).filter("a <> b").union(entries.filter("id <> low").select(F.col("id").alias("b"), F.col("high").alias("a")).filter("a <> b").select(F.least("a", "b"), F.greatest("a", "b")))
     near, near_path = tables.written(_compared(alone, pairs.distinct(), width, percent), "near")
