@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, chat, hmm, jaccard, media, packing, pii, quality, token_counts
+from . import ann, bpe, chat, hmm, jaccard, media, packing, pii, quality, token_counts, warc
 
 QUERIES = {
     "op1_pii": pii.query,
@@ -16,10 +16,12 @@ QUERIES = {
     "op8_quality": quality.query,
     "op9_packing": packing.query,
     "op10_permutation_index": ann.query,
+    "op11_warc_ranges": warc.query,
 }
 
 SQL: dict[str, str] = {
     "op3_ngram_jaccard_join": jaccard.SQL,
     "op3_ngram_jaccard_links": jaccard.LINKS_SQL,
     "op6_chat_format": chat.SQL,
+    "op11_warc_ranges": warc.SQL,
 }

@@ -76,15 +76,19 @@ def lowered(data: np.ndarray) -> np.ndarray:
 
 def word_spans(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and document of every word; a word is a longest run without separators in one text."""
-    if not len(data):
+    return runs(~_SEPARATOR[data], at)
+
+
+def runs(inside: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and document of every longest run of marked bytes that lies in one document."""
+    if not len(inside):
         return (np.zeros(0, np.int64),) * 3
-    inside = ~_SEPARATOR[data]
-    first = np.empty(len(data) + 1, bool)
+    first = np.empty(len(inside) + 1, bool)
     first[0], first[-1] = inside[0], False
     first[1:-1] = inside[1:] & ~inside[:-1]
-    edges = at[1:-1][(at[1:-1] > 0) & (at[1:-1] < len(data))]
+    edges = at[1:-1][(at[1:-1] > 0) & (at[1:-1] < len(inside))]
     first[edges] = inside[edges]
-    last = np.empty(len(data), bool)
+    last = np.empty(len(inside), bool)
     last[-1] = inside[-1]
     last[:-1] = inside[:-1] & ~inside[1:]
     last[edges - 1] = inside[edges - 1]
