@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, chat, hmm, jaccard, media, packing, pii, quality, token_counts, warc
+from . import ann, bpe, chat, divergence, hmm, jaccard, media, packing, pii, quality, token_counts, warc
 
 QUERIES = {
     "op1_pii": pii.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_packing": packing.query,
     "op10_permutation_index": ann.query,
     "op11_warc_ranges": warc.query,
+    "op12_source_divergence": divergence.query,
 }
 
 SQL: dict[str, str] = {
@@ -24,4 +25,5 @@ SQL: dict[str, str] = {
     "op3_ngram_jaccard_links": jaccard.LINKS_SQL,
     "op6_chat_format": chat.SQL,
     "op11_warc_ranges": warc.SQL,
+    "op12_source_divergence": divergence.SQL,
 }
