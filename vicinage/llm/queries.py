@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, chat, divergence, hmm, jaccard, media, packing, pii, quality, token_counts, warc
+from . import ann, bpe, chat, divergence, hmm, jaccard, media, packing, pii, quality, resample, token_counts, warc
 
 QUERIES = {
     "op1_pii": pii.query,
@@ -18,6 +18,7 @@ QUERIES = {
     "op10_permutation_index": ann.query,
     "op11_warc_ranges": warc.query,
     "op12_source_divergence": divergence.query,
+    "op13_importance_resampling": resample.query,
 }
 
 SQL: dict[str, str] = {
