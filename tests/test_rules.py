@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 from vicinage.functions.shared import numbered
-from vicinage.operators import expression, ranking, spatial, statistics
+from vicinage.operators import expression, neighbours, ranking, spatial, statistics
 from vicinage.plans import communities
 from vicinage.sources import files
 from vicinage.streaming.abundance import windowed_counts
@@ -28,7 +28,7 @@ def test_coincident_points_keep_self_first(spark):
 
 def test_more_neighbours_than_points_at_any_distance(spark):
     p = points(spark, [(1, 0, 0), (2, 1000, 0), (3, 0, 50000)], "q")
-    near = spatial.nearest_anywhere(p, p.withColumnRenamed("q", "r"), 10)
+    near = neighbours.nearest_pairs(p, p.withColumnRenamed("q", "r"), 10)
     assert near.count() == 9
 
 
@@ -36,7 +36,7 @@ def test_neighbours_of_far_and_unplaced_points(spark):
     """Far queries get all they can have; null and NaN coordinates take no part and do not keep the search going."""
     refs = points(spark, [(i, i, 0) for i in range(5)], "r")
     odd = spark.createDataFrame([(1, 1e9, 2.0), (2, float("nan"), 0.0), (3, None, 0.0), (4, 0.0, 0.0)], "q long, x double, y double")
-    got = {(r.q, r.r) for r in spatial.nearest_anywhere(odd, refs, 2).collect()}
+    got = {(r.q, r.r) for r in neighbours.nearest_pairs(odd, refs, 2).collect()}
     assert got == {(1, 4), (1, 3), (4, 0), (4, 1)}
 
 
@@ -60,20 +60,6 @@ def test_numbers_follow_the_key(spark):
     assert numbered(spark.createDataFrame([], "spot_id string"), "spot_id").count() == 0
 
 
-def test_pair_sums_equal_plain_sums(spark):
-    edges = [(q, r, 0.5 + q) for q in range(4) for r in range(4) if q != r]
-    labels = [(p, c, "ab"[(p * c) % 2]) for p in (1, 2, 3) for c in range(4)]
-    of = {(p, c): x for p, c, x in labels}
-    want = {}
-    for p in (1, 2, 3):
-        for q, r, w in edges:
-            key = p, of[p, q], of[p, r]
-            want[key] = want.get(key, 0.0) + w
-    got = statistics.pair_sums(spark.createDataFrame(edges, "q long, r long, w double"), spark.createDataFrame(labels, "perm long, cell_id long, label string"))
-    assert {(r.perm, r.i, r.j): r.s for r in got.collect()} == pytest.approx(want)
-    assert statistics.permutation_chunks(450, 10) == [(0, 200), (200, 200), (400, 50)] and statistics.permutation_chunks(3, 4000) == [(0, 1), (1, 1), (2, 1)]
-
-
 def test_scaling_constant_gene_and_zero_cell(spark):
     cells = spark.createDataFrame([(1,), (2,), (3,)], "cell_id long")
     expr = spark.createDataFrame([(1, "a", 2.0), (2, "a", 2.0), (3, "a", 2.0), (1, "b", 3.0)], "cell_id long, gene string, value double")

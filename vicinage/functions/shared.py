@@ -3,19 +3,38 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint: in spark.checkpoint.dir, or in a temporary folder where the session names none."""
+    """A reliable checkpoint in spark.checkpoint.dir. Only a local session that names none gets a temporary folder: executors of a cluster
+    could not read one of the driver's."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="vicinage-"))
+        where = spark.conf.get("spark.checkpoint.dir", "")
+        if not where and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(where or tempfile.mkdtemp(prefix="vicinage-"))
     return df.checkpoint()
 
 
+def merged_batches(parts: Iterable[pa.RecordBatch], size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in fewer batches of about so many bytes, as each batch costs time on its way out of a task."""
+    held, have = [], 0
+    for part in parts:
+        held.append(part)
+        have += part.nbytes + 64
+        if have >= size:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, have = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def numbered(df: DataFrame, key: str, name: str = "n") -> DataFrame:
     """The rows with their number by ``key``, from 1, and written: ranges of the key are sorted in tasks of their own, and only the
     number of rows of each range goes through the driver."""

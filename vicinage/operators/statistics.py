@@ -1,26 +1,28 @@
 """Statistics of states and places: co-location, co-association, autocorrelation, classification measures, meta-analysis.
 
-Permutations are named by a number and a seed: within a group, the label of the cell at place i goes to the cell that is
-i-th by the md5 of seed, permutation and cell. So every engine and every partitioning draws the same permutation.
+Permutations are named by a number and a seed (see ``permutation``), so every engine and every partitioning draws the same one.
+
+A cell without a community or a type has no state: it counts among its neighbours' neighbours and takes part in permutations, in
+which its lack of a label moves like a label (within its type, or within the cells without a type), but it is no row or column.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalars import clipped, ratio, two_sided_p
 from ..functions.shared import checkpointed
-from .spatial import nearest, nearest_anywhere, radius_pairs
+from .neighbours import nearest_lists
+from .permutation import blocks_of, dealt_codes, edge_sums, label_codes, observed_codes
 
 
 def cell_state(se: Column, cell_type: Column) -> Column:
-    return F.concat_ws("_", se, cell_type)
+    """The state's name; null where either part is missing."""
+    return F.concat(se, F.lit("_"), cell_type)
 
 
 def se_of(state: Column) -> Column:
@@ -99,46 +101,6 @@ def masked_diagonal(matrix: DataFrame) -> DataFrame:
     return matrix
 
 
-def permuted(df: DataFrame, key: str, label: str, group: list[str], nperm: int, seed: int = 1) -> DataFrame:
-    """(perm, key, label): for each of nperm permutations the labels dealt anew within each group."""
-    perms = df.sparkSession.range(1, nperm + 1).select(F.col("id").alias("perm"))
-    places = df.select(*group, key, label).withColumn("at", F.row_number().over(Window.partitionBy(*group).orderBy(key)))
-    drawn = df.select(*group, key).join(F.broadcast(perms))
-    order = F.md5(F.concat_ws("|", F.lit(seed), F.col("perm"), F.col(key)).cast("binary"))
-    drawn = drawn.withColumn("at", F.row_number().over(Window.partitionBy("perm", *group).orderBy(order, key)))
-    return drawn.join(places.select(*group, "at", label), [*group, "at"]).select("perm", key, label)
-
-
-def pair_sums(edges: DataFrame, labels: DataFrame) -> DataFrame:
-    """(perm, i, j, s): for each permutation of labels (perm, cell_id, label) the weights of the edges (q, r, w) from cells of label i
-    to cells of label j, summed. An edge meets its ends' labels of all permutations at once, as two arrays."""
-    names = sorted(r[0] for r in labels.select("label").filter("label is not null").distinct().collect())  # of which there are few
-    perms = sorted(r[0] for r in labels.select("perm").distinct().collect())
-    n, m = len(names), len(perms)
-    codes = F.create_map(*[x for i, c in enumerate(names) for x in (F.lit(c), F.lit(i))]) if names else F.create_map().cast("map<string,int>")
-    coded = labels.filter("label is not null").select("perm", "cell_id", codes[F.col("label")].alias("code"))
-    wide = checkpointed(coded.groupBy("cell_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("perm", "code"))), lambda x: x["code"]).alias("codes")))
-    to = wide.select(F.col("cell_id").alias("r"), F.col("codes").alias("to"))
-    pairs = edges.join(to, "r").join(wide.select(F.col("cell_id").alias("q"), F.col("codes").alias("own")), "q").select("w", "own", "to")
-    base = np.arange(m) * n * n
-
-    def run(batches):
-        total = np.zeros(m * n * n)
-        for batch in batches:
-            for a in range(0, batch.num_rows, 4096):
-                w, own, to = (batch.column(i).slice(a, 4096) for i in range(3))
-                own, to = (x.flatten().to_numpy().reshape(-1, m).astype(np.int64) for x in (own, to))
-                total += np.bincount((base + own * n + to).ravel(), np.repeat(w.to_numpy(), m), len(total))
-        k = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(total[k])], ["k", "s"])
-
-    sums = pairs.mapInArrow(run, "k long, s double").groupBy("k").agg(F.sum("s").alias("s"))
-    name = F.array(*[F.lit(c) for c in names]).cast("array<string>")
-    at = lambda x: F.get(name, (x % n).cast("int"))
-    perm = F.get(F.array(*[F.lit(p) for p in perms]).cast("array<bigint>"), F.floor(F.col("k") / max(1, n * n)).cast("int"))
-    return sums.select(perm.alias("perm"), at(F.floor(F.col("k") / max(1, n))).alias("i"), at(F.col("k")).alias("j"), "s") if n else sums.select(F.col("k").alias("perm"), F.lit("").alias("i"), F.lit("").alias("j"), "s")
-
-
 def permutation_chunks(nperm: int, labels: int, most: int = 200, cells: int = 1 << 22) -> list[tuple[int, int]]:
     """(first, number) of the permutations that go together: as many as keep a task's sums under so many cells."""
     size = max(1, min(most, cells // max(1, labels * labels)))
@@ -167,8 +129,12 @@ def coassociation_null(matrix: DataFrame, nperm: int, seed: int = 1) -> DataFram
 
 
 def _permuted_states(states: DataFrame, nperm: int, seed: int) -> DataFrame:
-    rows = states.select(F.lit(0).alias("g"), "state", F.col("state").alias("label"))
-    return permuted(rows, "state", "label", ["g"], nperm, seed)
+    """(perm, state, label): the states dealt anew."""
+    names = label_codes(states, "state")
+    dealt = dealt_codes(states.withColumn("label", F.col("state")), "state", "label", [], nperm, seed, names)
+    low, high = (F.conv(F.hex(F.expr(f"substring(codes, 2 * perm - {k}, 1)")), 16, 10).cast("int") for k in (1, 0))
+    rows = dealt.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(nperm))))
+    return rows.select(F.col("perm").cast("long").alias("perm"), "state", F.get(F.array(*[F.lit(x) for x in names]).cast("array<string>"), low + 256 * high).alias("label"))
 
 
 def coassociation_test(matrix: DataFrame, nperm: int = 1000, seed: int = 1) -> DataFrame:
@@ -179,39 +145,53 @@ def coassociation_test(matrix: DataFrame, nperm: int = 1000, seed: int = 1) -> D
 # --- co-location -----------------------------------------------------------------------------------------------------
 
 
-def neighbour_edges(cells: DataFrame, radius: float = 50, k: int = 200) -> DataFrame:
-    """(q, r): each cell's k nearest cells within the radius, of which the cell itself is the first and is left out."""
+def neighbour_lists(cells: DataFrame, radius: float = 50, k: int = 200) -> DataFrame:
+    """(q, leaf, near): each cell's nearest cells within the radius, k with the cell itself, which is left out."""
     q = cells.select(F.col("cell_id").alias("q"), "x", "y")
-    return nearest(radius_pairs(q, q.withColumnRenamed("q", "r"), radius), k, self_first=True).filter("place > 1").select("q", "r")
+    return nearest_lists(q, q.withColumnRenamed("q", "r"), max(k - 1, 1), radius, others=True).filter(F.lit(k > 1))
 
 
-def colocalization_matrix(edges: DataFrame, states: DataFrame, min_cells: int = 10, by: list[str] | None = None) -> DataFrame:
-    """(by, i, j, value): mean share of state j among the neighbours of cells of state i with enough neighbours.
-    ``states``: (by, cell_id, state)."""
-    by = by or []
-    enough = edges.groupBy("q").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_cells)
-    own = states.select(*by, F.col("cell_id").alias("q"), F.col("state").alias("i"))
-    near = states.select(*by, F.col("cell_id").alias("r"), F.col("state").alias("j"))
-    used = edges.join(enough, "q")
-    shares = used.join(near, "r").join(own, [*by, "q"]).groupBy(*by, "i", "j").agg(F.sum(1 / F.col("n")).alias("s"))
-    sizes = own.join(enough, "q").groupBy(*by, "i").agg(F.count(F.lit(1)).alias("m"))
-    grid = sizes.join(states.select(*by, F.col("state").alias("j")).distinct(), by) if by else sizes.join(states.select(F.col("state").alias("j")).distinct())
-    return grid.join(shares, [*by, "i", "j"], "left").select(*by, "i", "j", (F.coalesce("s", F.lit(0.0)) / F.col("m")).alias("value"))
+def neighbour_edges(cells: DataFrame, radius: float = 50, k: int = 200) -> DataFrame:
+    """(q, r): the pairs of ``neighbour_lists``."""
+    return neighbour_lists(cells, radius, k).select("q", F.explode("near").alias("x")).select("q", F.col("x.r").alias("r"))
+
+
+def state_shares(sums: DataFrame) -> DataFrame:
+    """(perm, i, j, value): mean share of state j among the neighbours of cells of state i, from sums of edge weights, which are one for
+    each cell in all."""
+    w = Window.partitionBy("perm", "i")
+    return sums.filter("i is not null").withColumn("value", F.col("s") / F.sum("s").over(w)).filter("j is not null").select("perm", "i", "j", "value")
+
+
+def _lists_with_enough(cells: DataFrame, radius: float, k: int, min_cells: int) -> DataFrame:
+    return checkpointed(neighbour_lists(cells, radius, k).filter(F.size("near") >= max(min_cells, 1)))
+
+
+def _observed_shares(blocks, rows: DataFrame, names: list) -> DataFrame:
+    """(i, j, value) for every state i with cells that have enough neighbours and every state j."""
+    found = checkpointed(state_shares(edge_sums(blocks, observed_codes(rows, "cell_id", "state", names), "cell_id", names, 1)).drop("perm"))
+    grid = found.select("i").distinct().join(rows.select(F.col("state").alias("j")).filter("j is not null").distinct())
+    return grid.join(found, ["i", "j"], "left").na.fill(0.0, ["value"])
+
+
+def colocalization_matrix(cells: DataFrame, radius: float = 50, k: int = 200, min_cells: int = 10) -> DataFrame:
+    """(i, j, value): mean share of state j among the neighbours of cells (cell_id, x, y, state) of state i with enough neighbours."""
+    names = label_codes(cells, "state")
+    return _observed_shares(blocks_of(_lists_with_enough(cells, radius, k, min_cells)), cells, names)
 
 
 def colocalization(cells: DataFrame, radius: float = 50, k: int = 200, min_cells: int = 10, nperm: int = 1000, seed: int = 1) -> DataFrame:
-    """(i, j, value, zscore, pval): co-location of states against labels permuted within cell types. The neighbour edges are
-    made once; permutations go in chunks, of which only sums are kept."""
-    rows = cells.select("cell_id", "x", "y", "cell_type", cell_state(F.col("se"), F.col("cell_type")).alias("state"))
-    edges = checkpointed(neighbour_edges(rows, radius, k))
-    observed = checkpointed(colocalization_matrix(edges, rows, min_cells))
-    enough = edges.groupBy("q").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_cells)
-    weighted = checkpointed(edges.join(enough, "q").select("q", "r", (1 / F.col("n")).alias("w")))
+    """(i, j, value, zscore, pval): co-location of states against labels permuted within cell types. Neighbours are found once;
+    permutations go in chunks, of which only sums are kept."""
+    rows = checkpointed(cells.select("cell_id", "x", "y", "cell_type", cell_state(F.col("se"), F.col("cell_type")).alias("state")))
+    names = label_codes(rows, "state")
+    packed, need = blocks_of(_lists_with_enough(rows, radius, k, min_cells))
+    blocks = packed, checkpointed(need)
+    observed = checkpointed(_observed_shares(blocks, rows, names))
     sums, counts = [], []
-    for first, many in permutation_chunks(nperm, rows.select("state").distinct().count()):
-        null = pair_sums(weighted, permuted(rows, "cell_id", "state", ["cell_type"], many, seed + first).withColumnRenamed("state", "label"))
-        # The weights of a cell's edges sum to one, so those of a state to its number of cells.
-        null = checkpointed(null.withColumn("value", F.col("s") / F.sum("s").over(Window.partitionBy("perm", "i"))))
+    for first, many in permutation_chunks(nperm, len(names) + 1):
+        codes = dealt_codes(rows, "cell_id", "state", ["cell_type"], many, seed + first, names)
+        null = checkpointed(state_shares(edge_sums(blocks, codes, "cell_id", names, many)))
         sums.append(null.groupBy("i", "j").agg(F.sum("value").alias("s"), F.sum(F.col("value") ** 2).alias("ss")))
         counts.append(null.groupBy("i").agg(F.countDistinct("perm").alias("n")))
     n = checkpointed(reduce(DataFrame.unionByName, counts).groupBy("i").agg(F.sum("n").alias("n")))
@@ -239,50 +219,46 @@ def meta_analysis(results: DataFrame, cap: float = 5, min_samples: int = 1) -> D
 # --- autocorrelation -------------------------------------------------------------------------------------------------
 
 
-def moran_edges(cells: DataFrame, k: int = 3) -> DataFrame:
-    """(q, r): each cell's k nearest other cells."""
+def moran_lists(cells: DataFrame, k: int = 3) -> DataFrame:
+    """(q, leaf, near): each cell's k nearest other cells."""
     q = cells.select(F.col("cell_id").alias("q"), "x", "y")
-    near = nearest_anywhere(q, q.withColumnRenamed("q", "r"), k + 1, self_first=True)
-    return near.filter("q <> r").withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy("d2", "r"))).filter(F.col("place") <= k).select("q", "r")
+    return nearest_lists(q, q.withColumnRenamed("q", "r"), k, others=True).filter(F.size("near") > 0)
 
 
-def moran_index(edges: DataFrame, labels: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """(by, se, value): Moran's I of each label's indicator, weights of a cell's neighbours summing to one. With share p of n
-    cells the sums reduce to counts of edges between and into labelled cells."""
-    by = by or []
-    w = edges.withColumn("w", 1 / F.count(F.lit(1)).over(Window.partitionBy("q")))
-    n = labels.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    size = labels.groupBy(*by, "se").agg(F.count(F.lit(1)).alias("m"))
-    size = size.join(F.broadcast(n), by) if by else size.join(F.broadcast(n))
-    to = w.join(labels.select(*by, F.col("cell_id").alias("r"), F.col("se").alias("to_se")), "r").join(labels.select(*by, F.col("cell_id").alias("q"), F.col("se").alias("from_se")), [*by, "q"])
-    into = to.groupBy(*by, F.col("to_se").alias("se")).agg(F.sum("w").alias("w_in"), F.sum(F.when(F.col("to_se") == F.col("from_se"), F.col("w")).otherwise(0.0)).alias("w_both"))
-    out_of = to.groupBy(*by, F.col("from_se").alias("se")).agg(F.sum("w").alias("w_out"))
-    total = to.groupBy(*by).agg(F.sum("w").alias("w_all"))
-    zero = lambda c: F.coalesce(c, F.lit(0.0))
-    both = size.join(into, [*by, "se"], "left").join(out_of, [*by, "se"], "left")
-    both = both.join(F.broadcast(total), by) if by else both.join(F.broadcast(total))
+def moran_values(sums: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(perm, se, value): Moran's I of each label's indicator, weights of a cell's neighbours summing to one, from sums of edge weights
+    (perm, i, j, s) and sizes (se, m, n): cells of the label, and all. With share p of n cells the sums reduce to the weights between and
+    into labelled cells."""
+    into = sums.groupBy("perm", F.col("j").alias("se")).agg(F.sum("s").alias("w_in"), F.sum(F.when(F.col("i") == F.col("j"), F.col("s")).otherwise(0.0)).alias("w_both"))
+    out_of = sums.groupBy("perm", F.col("i").alias("se")).agg(F.sum("s").alias("w_out"))
+    every = sums.groupBy("perm").agg(F.sum("s").alias("w_all")).join(F.broadcast(sizes))
+    both = every.join(into, ["perm", "se"], "left").join(out_of, ["perm", "se"], "left").na.fill(0.0, ["w_in", "w_both", "w_out"])
     p = F.col("m") / F.col("n")
-    top = zero("w_both") - p * (zero("w_in") + zero("w_out")) + p * p * F.col("w_all")
-    return both.select(*by, "se", ratio(top, F.col("n") * p * (1 - p)).alias("value"))
+    top = F.col("w_both") - p * (F.col("w_in") + F.col("w_out")) + p * p * F.col("w_all")
+    return both.select("perm", "se", ratio(top, F.col("n") * p * (1 - p)).alias("value"))
+
+
+def _label_sizes(cells: DataFrame) -> DataFrame:
+    """(se, m, n): permutations leave a label's cells as many; n counts cells without a label too."""
+    size = cells.filter("se is not null").groupBy("se").agg(F.count(F.lit(1)).alias("m"))
+    return checkpointed(size.join(F.broadcast(cells.agg(F.count(F.lit(1)).alias("n")))))
+
+
+def moran_index(cells: DataFrame, k: int = 3) -> DataFrame:
+    """(se, value): Moran's I of each label over the k nearest cells of each cell."""
+    names = label_codes(cells, "se")
+    sums = edge_sums(blocks_of(checkpointed(moran_lists(cells, k))), observed_codes(cells, "cell_id", "se", names), "cell_id", names, 1)
+    return moran_values(checkpointed(sums), _label_sizes(cells)).drop("perm")
 
 
 def normalized_moran(cells: DataFrame, nperm: int = 1000, k: int = 3, seed: int = 1) -> DataFrame:
     """(se, value, zscore, pval): Moran's I against labels permuted within cell types."""
-    edges = moran_edges(cells, k)
-    weighted = checkpointed(edges.withColumn("w", 1 / F.count(F.lit(1)).over(Window.partitionBy("q"))))
-    size = cells.filter("se is not null").groupBy("se").agg(F.count(F.lit(1)).alias("m"))
-    size = checkpointed(size.join(F.broadcast(cells.agg(F.count(F.lit(1)).alias("n")))))  # permutations leave a label's cells as many
-    parts = []
-    for first, many in permutation_chunks(nperm, size.count()):
-        sums = checkpointed(pair_sums(weighted, permuted(cells, "cell_id", "se", ["cell_type"], many, seed + first).withColumnRenamed("se", "label")))
-        into = sums.groupBy("perm", F.col("j").alias("se")).agg(F.sum("s").alias("w_in"), F.sum(F.when(F.col("i") == F.col("j"), F.col("s")).otherwise(0.0)).alias("w_both"))
-        out_of = sums.groupBy("perm", F.col("i").alias("se")).agg(F.sum("s").alias("w_out"))
-        every = sums.groupBy("perm").agg(F.sum("s").alias("w_all")).join(size)
-        both = every.join(into, ["perm", "se"], "left").join(out_of, ["perm", "se"], "left").na.fill(0.0, ["w_in", "w_both", "w_out"])
-        p = F.col("m") / F.col("n")
-        top = F.col("w_both") - p * (F.col("w_in") + F.col("w_out")) + p * p * F.col("w_all")
-        parts.append(checkpointed(both.select("perm", "se", ratio(top, F.col("n") * p * (1 - p)).alias("value"))))
-    return null_z(moran_index(edges, cells.select("cell_id", "se")), reduce(DataFrame.unionByName, parts), ["se"])
+    names, sizes = label_codes(cells, "se"), _label_sizes(cells)
+    packed, need = blocks_of(checkpointed(moran_lists(cells, k)))
+    blocks = packed, checkpointed(need)
+    value = lambda codes, many: checkpointed(moran_values(checkpointed(edge_sums(blocks, codes, "cell_id", names, many)), sizes))
+    parts = [value(dealt_codes(cells, "cell_id", "se", ["cell_type"], many, seed + first, names), many) for first, many in permutation_chunks(nperm, len(names) + 1)]
+    return null_z(value(observed_codes(cells, "cell_id", "se", names), 1).drop("perm"), reduce(DataFrame.unionByName, parts), ["se"])
 
 
 # --- mixtures --------------------------------------------------------------------------------------------------------

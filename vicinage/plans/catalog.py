@@ -419,9 +419,8 @@ mat AS (SELECT m.perm, m.i, t.state AS j, coalesce(s, 0) / m AS value FROM m CRO
 
 @_query("colocalization_observed", f"WITH {_COLOC} SELECT i, j, round(value, 6) AS value FROM mat WHERE perm = 0")
 def _colocalization(spark, sf_dir):
-    cells = cells_of_events(spark, sf_dir)
-    states = cells.select("cell_id", statistics.cell_state(F.col("se"), F.col("cell_type")).alias("state"))
-    return _rounded(statistics.colocalization_matrix(statistics.neighbour_edges(cells, 80, 50), states, 5))
+    cells = cells_of_events(spark, sf_dir).withColumn("state", statistics.cell_state(F.col("se"), F.col("cell_type")))
+    return _rounded(statistics.colocalization_matrix(cells, 80, 50, 5))
 
 
 @_query("colocalization_z", f"""WITH {_COLOC}, n AS (SELECT i, j, avg(value) AS m, stddev_samp(value) AS sd FROM mat WHERE perm > 0 GROUP BY 1, 2)
@@ -444,8 +443,7 @@ i AS (SELECT perm, se, t / d AS value FROM t JOIN (SELECT perm, se, sum(z * z) A
 
 @_query("moran_observed", f"WITH {_MORAN} SELECT se, round(value, 6) AS value FROM i WHERE perm = 0")
 def _moran(spark, sf_dir):
-    cells = cells_of_customers(spark, sf_dir)
-    return _rounded(statistics.moran_index(statistics.moran_edges(cells, 3), cells.select("cell_id", "se")))
+    return _rounded(statistics.moran_index(cells_of_customers(spark, sf_dir), 3))
 
 
 @_query("moran_z", f"""WITH {_MORAN}, s AS (SELECT se, avg(value) AS m, stddev_samp(value) AS sd FROM i WHERE perm > 0 GROUP BY 1)
