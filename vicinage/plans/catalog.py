@@ -328,15 +328,20 @@ def _snf_normalize(spark, sf_dir):
     return _rounded(graph.normalized(checkpointed(graph.similarity_graph(embedding_views(spark, sf_dir), 10))), "w")
 
 
-@_query("snf_one_round", f"""WITH {_POINTS}, {_SIM}, {_NODES}, {_norm_sql('sim', 'w1')},
-dom AS MATERIALIZED (SELECT view, src, dst, w FROM (SELECT *, row_number() OVER (PARTITION BY view, src ORDER BY w DESC, dst DESC) AS r FROM w1 WHERE w <> 0) WHERE r <= 10), {_norm_sql('dom', 'pn')},
-y AS MATERIALIZED (SELECT p.view, p.src AS i, o.dst AS l, sum(p.w * o.w) AS y FROM pn p JOIN w1 o ON o.view <> p.view AND o.src = p.dst GROUP BY 1, 2, 3),
-x AS MATERIALIZED (SELECT y.view, i AS src, q.src AS dst, sum(y * q.w) AS w FROM y JOIN pn q ON q.view = y.view AND q.dst = l GROUP BY 1, 2, 3), {_norm_sql('x', 'w2')}
-SELECT src, dst, round(sum(w) / count(*) FILTER (w > 0), 6) AS w FROM w2 GROUP BY 1, 2 HAVING sum(w) <> 0""")
-def _snf_round(spark, sf_dir):
-    now = checkpointed(graph.normalized(checkpointed(graph.similarity_graph(embedding_views(spark, sf_dir), 10))))
-    near = checkpointed(graph.normalized(checkpointed(graph.dominate_set(now, 10))))
-    return _rounded(graph.combined(graph.fusion_round(now, near, 2)), "w")
+def _round_sql(of: str, out: str) -> str:
+    return f"""{out}_y AS MATERIALIZED (SELECT p.view, p.src AS i, o.dst AS l, sum(p.w * o.w) AS y FROM pn p JOIN {of} o ON o.view <> p.view AND o.src = p.dst GROUP BY 1, 2, 3),
+{out}_x AS MATERIALIZED (SELECT y.view, i AS src, q.src AS dst, sum(y * q.w) AS w FROM {out}_y y JOIN pn q ON q.view = y.view AND q.dst = l GROUP BY 1, 2, 3), {_norm_sql(f"{out}_x", out)}"""
+
+
+_NEAR = f"""WITH {_POINTS}, {_SIM}, {_NODES}, {_norm_sql('sim', 'w1')},
+dom AS MATERIALIZED (SELECT view, src, dst, w FROM (SELECT *, row_number() OVER (PARTITION BY view, src ORDER BY w DESC, dst DESC) AS r FROM w1 WHERE w <> 0) WHERE r <= 10), {_norm_sql('dom', 'pn')}"""
+
+
+for _rounds, _name, _parts in ((1, "snf_one_round", _round_sql("w1", "w2")), (2, "snf_two_rounds", f"{_round_sql('w1', 'v2')}, {_round_sql('v2', 'w2')}")):
+
+    @_query(_name, f"{_NEAR}, {_parts} SELECT src, dst, round(sum(w) / count(*) FILTER (w > 0), 6) AS w FROM w2 GROUP BY 1, 2 HAVING sum(w) <> 0")
+    def _snf_rounds(spark, sf_dir, rounds=_rounds):
+        return _rounded(graph.fuse(graph.similarity_graph(embedding_views(spark, sf_dir), 10), 10, rounds), "w")
 
 
 def _columns(spark, sf_dir) -> DataFrame:
