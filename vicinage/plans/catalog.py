@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import views
 from ..functions.scalars import stars
 from ..functions.shared import checkpointed
-from ..operators import clustering, expression, factors, graph, ranking, spatial, statistics
+from ..operators import clustering, edge_clusters, expression, factors, graph, ranking, spatial, statistics
 from ..sources.tables import cells_of_customers, cells_of_events, embedding_views, expression_of_customers, predictions, table
 from . import communities
 
@@ -556,6 +556,11 @@ def _louvain(spark, sf_dir):
     return clustering.find_clusters(graph.shared_neighbours(embedding_views(spark, sf_dir), 20))
 
 
+@_query("edge_communities")
+def _edge_communities(spark, sf_dir):
+    return edge_clusters.find_clusters(graph.shared_neighbours(embedding_views(spark, sf_dir), 20), starts=2)
+
+
 _SMALL = {"radius": 50, "n_features": 25, "min_types": 1, "npcs": 10, "min_cells": 3, "min_features": 5, "iterations": 5, "k": 10, "k_graph": 20}
 
 
