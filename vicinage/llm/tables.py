@@ -19,7 +19,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir. Only a local session that names none gets a temporary one: executors of a
     cluster could not read one of the driver's."""
     where = spark.conf.get("spark.checkpoint.dir", "")
-    if not where and not spark.sparkContext.master.startswith("local["):
+    if not where and spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not where:
         where = tempfile.mkdtemp(prefix="vicinage-")
