@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators.selection import quantiles
+
 #: The 22 colours of maximum contrast published by K. Kelly (1965).
 KELLY = ("#F2F3F4", "#222222", "#F3C300", "#875692", "#F38400", "#A1CAF1", "#BE0032", "#C2B280", "#848482", "#008856", "#E68FAC", "#0067A5", "#F99379", "#604E97", "#F6A600", "#B3446C", "#DCD300", "#882D17", "#8DB600", "#654522", "#E25822", "#2B3D26")
 
@@ -26,8 +28,7 @@ def rectangles(rows: DataFrame, cols: DataFrame) -> DataFrame:
 
 def breaks(df: DataFrame, value: str, at: tuple[float, ...] = (0.55, 0.75, 0.9)) -> DataFrame:
     """(at, value): exact interpolated quantiles."""
-    q = df.agg(F.percentile(value, F.array(*[F.lit(a) for a in at])).alias("q"))
-    return q.select(F.explode(F.arrays_zip(F.array(*[F.lit(a) for a in at]).alias("at"), "q")).alias("x")).select("x.at", F.col("x.q").alias("value"))
+    return quantiles(df, value, at)
 
 
 def spatial_layers(cells: DataFrame, by: str, highlight: list[str] | None = None, background: int = 2000, seed: int = 1) -> DataFrame:
