@@ -621,7 +621,7 @@ def _several(spark, sf_dir):
 @_query("nmf_consensus")
 def _consensus(spark, sf_dir):
     net = communities.integrate(_columns(spark, sf_dir), min_features=3)
-    labels, _, _ = factors.consensus_clusters(net.select(F.col("src").alias("row"), F.col("dst").alias("node"), F.col("w").alias("value")), [2, 3], 5)
+    labels, _, _ = factors.consensus_clusters(net.select(F.col("src").alias("row"), F.col("dst").alias("node"), F.col("w").alias("value")), [2, 3])
     return labels
 
 
