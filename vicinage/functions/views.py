@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators import trees
 from ..operators.selection import quantiles
 
 #: The 22 colours of maximum contrast published by K. Kelly (1965).
@@ -45,6 +48,46 @@ def heatmap_cells(values: DataFrame, low: float, high: float) -> DataFrame:
     return values.select("row", "col", v.alias("value"), ((v - low) / (high - low)).alias("shade"))
 
 
+def heatmap_order(values: DataFrame, method: str = "complete", split: int | DataFrame | None = None) -> DataFrame:
+    """(row, slice, place): rows of a heatmap (row, col, value) in the order of the leaves of trees over their euclidean distances; columns are ordered
+    with ``row`` and ``col`` exchanged.
+
+    ``split``: a number of groups that the tree of all rows is cut into, named from 1 by their first rows, or labels (row, slice), a null label being one
+    of its own, rows without a label left out. Each slice has a tree of its own; slices go by label, null first, and places, from 1, run through all of them.
+    Absent, null and NaN values are 0, of repeated ones the mean counts. A slice is one task's, with 8 n * n bytes: rows that a plot can show.
+    """
+    rows = values.filter("row is not null and col is not null").select("row", "col", F.coalesce(F.nanvl(F.col("value").cast("double"), F.lit(None)), F.lit(0.0)).alias("value"))
+    rows = rows.groupBy("row", "col").agg(F.avg("value").alias("value"))
+    labels, groups = (split.select("row", "slice").dropDuplicates(["row"]), 1) if isinstance(split, DataFrame) else (None, split or 1)
+    kind = values.schema["row"].dataType.simpleString()
+    name = labels.schema["slice"].dataType.simpleString() if labels is not None else "int"
+    named = labels is not None
+    if groups < 1:
+        raise ValueError("rows are split into one group at least")
+    rows = rows.join(labels, "row") if labels is not None else rows.withColumn("slice", F.lit(1))
+
+    def run(pdf):
+        wide = pdf.pivot_table(index="row", columns="col", values="value", fill_value=0.0).sort_index()
+        x, names, parts = wide.to_numpy(float), wide.index.to_numpy(), []
+
+        def tree(x):
+            d = np.stack([np.sqrt(((x - one) ** 2).sum(1)) for one in x])
+            return trees.linkage(d, method)
+
+        label = trees.cut(tree(x), len(x), groups) if groups > 1 else np.ones(len(x), int)
+        for g in range(1, int(label.max(initial=0)) + 1):
+            at = np.flatnonzero(label == g)
+            order = at[trees.leaf_order(tree(x[at]), len(at))]
+            parts.append(pd.DataFrame({"row": names[order], "slice": pdf["slice"].iloc[0] if named else g, "at": np.arange(1, len(at) + 1)}))
+        return pd.concat(parts)
+
+    placed = rows.groupBy("slice").applyInPandas(run, f"row {kind}, slice {name}, at int")
+    sizes = placed.groupBy("slice").agg(F.count(F.lit(1)).alias("n"))  # a row for each slice
+    before = sizes.withColumn("before", F.sum("n").over(Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1))).withColumnRenamed("slice", "s")
+    found = placed.join(before, F.col("slice").eqNullSafe(F.col("s")))
+    return found.select("row", "slice", (F.col("at") + F.coalesce("before", F.lit(0))).cast("int").alias("place"))
+
+
 # --- colours ---------------------------------------------------------------------------------------------------------
 
 

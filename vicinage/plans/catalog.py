@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import views
+from ..functions import colours, views
 from ..functions.scalars import stars
 from ..functions.shared import checkpointed
 from ..operators import clustering, edge_clusters, expression, factors, graph, ranking, spatial, statistics
@@ -506,6 +506,31 @@ def _breaks(spark, sf_dir):
     return _rounded(views.breaks(table(spark, sf_dir, "customer"), "c_acctbal"))
 
 
+def _lab_sql() -> str:
+    """A ramp from blue over white to red at three quantiles, mixed in L*a*b*, for (key, v) of the table vals."""
+    low, middle, high = (colours.lab(c) for c in colours.STOPS)
+    mix = lambda k, n: f"CASE WHEN v <= q2 THEN {low[k]!r} * (1 - (v - q1) / (q2 - q1)) + {middle[k]!r} * ((v - q1) / (q2 - q1)) ELSE {middle[k]!r} * (1 - (v - q2) / (q3 - q2)) + {high[k]!r} * ((v - q2) / (q3 - q2)) END AS {n}"
+    light = [" + ".join(f"{m!r} * {n} * {w / 100!r}" for m, n, w in zip(row, "xyz", colours.WHITE)) for row in colours.FROM_XYZ]
+    part = lambda c: f"lpad(upper(to_hex(CAST(round_even(least(greatest(CASE WHEN {c} > 0.0031308 THEN 1.055 * pow(greatest({c}, 0), 1 / 2.4) - 0.055 ELSE 12.92 * {c} END, 0), 1) * 255, 0) AS BIGINT))), 2, '0')"
+    back = lambda f: f"CASE WHEN pow({f}, 3) > 0.008856 THEN pow({f}, 3) ELSE ({f} - 16.0 / 116) / 7.787 END"
+    return f"""st AS (SELECT quantile_cont(v, 0.1) AS q1, quantile_cont(v, 0.5) AS q2, quantile_cont(v, 0.9) AS q3 FROM vals),
+cl AS (SELECT key, least(greatest(v, q1), q3) AS v, q1, q2, q3 FROM vals, st), mx AS (SELECT key, {mix(0, "l")}, {mix(1, "a")}, {mix(2, "b")} FROM cl),
+ty AS (SELECT *, CASE WHEN l <= 8 THEN l / 903.3 ELSE pow((l + 16) / 116, 3) END AS y FROM mx),
+fy AS (SELECT *, CASE WHEN y > 0.008856 THEN cbrt(y) ELSE 7.787 * y + 16.0 / 116 END AS f FROM ty),
+xz AS (SELECT key, y, {back("(f + a / 500)")} AS x, {back("(f - b / 200)")} AS z FROM fy),
+li AS (SELECT key, {light[0]} AS r, {light[1]} AS g, {light[2]} AS bl FROM xz), ramp AS (SELECT key, '#' || {part("r")} || {part("g")} || {part("bl")} AS colour FROM li)"""
+
+
+_LEVELS = "[" + ", ".join(f"'{c}'" for c in views.KELLY[1:]) + "]"
+
+
+@_query("heatmap_annotation", f"""WITH vals AS (SELECT c_custkey AS key, CAST(c_acctbal AS DOUBLE) AS v FROM customer), {_lab_sql()},
+lv AS (SELECT c_mktsegment, row_number() OVER (ORDER BY c_mktsegment) AS n FROM customer GROUP BY 1)
+SELECT key, 'c_acctbal' AS column, colour FROM ramp UNION ALL SELECT c_custkey, 'c_mktsegment', ({_LEVELS})[n] FROM customer JOIN lv USING (c_mktsegment)""")
+def _annotation(spark, sf_dir):
+    return colours.annotation(table(spark, sf_dir, "customer"), "c_custkey", ["c_acctbal", "c_mktsegment"])
+
+
 @_query("significance_stars", """SELECT CASE WHEN p < 0.0001 THEN '****' WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE 'ns' END AS mark, count(*) AS n
 FROM (SELECT l_discount * l_tax AS p FROM lineitem) GROUP BY 1""")
 def _stars(spark, sf_dir):
@@ -625,6 +650,14 @@ def _consensus(spark, sf_dir):
     return labels
 
 
+@_query("heatmap_order")
+def _heatmap_order(spark, sf_dir):
+    """Brands in three slices, by the mean quantity that customers of each nation buy."""
+    home = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("cell_id"), F.col("c_nationkey").alias("col"))
+    bought = expression_of_customers(spark, sf_dir).join(home, "cell_id").groupBy(F.col("gene").alias("row"), "col").agg(F.avg("value").alias("value"))
+    return views.heatmap_order(bought, split=3)
+
+
 @_query("colocalization_test")
 def _colocalization_test(spark, sf_dir):
     return statistics.colocalization(cells_of_events(spark, sf_dir), 80, 50, 5, nperm=200)
