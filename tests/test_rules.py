@@ -136,3 +136,13 @@ def test_stream_counts(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [(r.spot_id, r.se, r.n) for r in spark.sql("SELECT * FROM abundance").collect()] == [("X0_Y0", "SE1", 2)]
+
+
+def test_neighbours_within_a_radius_make_no_table_of_pairs(spark, monkeypatch):
+    """Only the k nearest leave a task; ties go to the smaller id and the radius itself is out (for labels in)."""
+    monkeypatch.setattr(spatial, "radius_pairs", lambda *a, **b: pytest.fail("all pairs within the radius"))
+    q, r = points(spark, [(1, 0, 0), (2, 50, 0)], "q"), points(spark, [(7, 3, 0), (5, 0, 3), (6, 0, 5), (1, 0, 0)], "r")
+    assert {(x.q, x.r) for x in spatial.knn_weights(r, q, 2, 5.0).collect()} == {(1, 1), (1, 5)}
+    assert {(x.q, x.r) for x in spatial.knn_weights(r, q, 4, 5.0, include_self=False).collect()} == {(1, 5), (1, 7)}
+    cells, spots = points(spark, [(1, 0, 0), (2, 50, 0)], "cell_id"), points(spark, [(6, 0, 5), (8, 5, 0)], "spot_id").withColumn("se", F.concat(F.lit("s"), "spot_id"))
+    assert [(x.cell_id, x.se) for x in spatial.annotate_cells(cells, spots, 5.0).collect()] == [(1, "s6")]
