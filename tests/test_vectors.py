@@ -65,3 +65,14 @@ def test_points_without_a_finite_vector_take_no_part(spark):
     rows = [("a", 1, [0.0, 1.0]), ("a", 2, None), ("a", 3, [float("nan"), 0.0]), ("a", 4, [0.0, 3.0]), (None, 5, [0.0, 0.0]), ("a", 6, [float("inf"), 0.0]), ("a", 7, [None, 0.0]), ("a", None, [1.0, 1.0])]
     assert found(vectors.knn_dense(spark.createDataFrame(rows, SCHEMA), 3)) == {"a": {1: [1, 4], 4: [4, 1]}}
     assert vectors.knn_dense(spark.createDataFrame([], SCHEMA), 3).collect() == []
+
+
+def test_vectors_are_not_written_for_each_block_they_meet(spark, monkeypatch, capsys):
+    """Random directions meet all blocks: pairs come from a product of written tables, and references in several parts change nothing."""
+    monkeypatch.setattr(vectors, "BLOCK", 32)
+    monkeypatch.setattr(vectors, "HELD", 4000)
+    x = np.random.default_rng(9).normal(size=(200, 8))
+    near = vectors.knn_dense(spark.createDataFrame([("a", i, v.tolist()) for i, v in enumerate(x)], SCHEMA), 6)
+    near.explain()
+    assert "CartesianProduct" in capsys.readouterr().out
+    assert found(near)["a"] == plain(np.arange(200), x, 6)
