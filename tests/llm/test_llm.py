@@ -608,3 +608,18 @@ def test_pipeline_odd_documents(spark, sf_dir):
     assert sorted(r.doc_id or 0 for r in kept) == [0, 0, 1, 2, 3, 5, 5]
     clean = {(r.doc_id, r.text): r.n_chars for r in corpus_pipeline.redact(spark, docs, sf_dir).collect()}
     assert clean[None, "mail [EMAIL] now and then"] == 25 and clean[1, None] is None and clean[2, ""] == 0
+
+
+def test_pivots_come_from_few_rows_of_each_partition(spark):
+    """The vectors of smallest hashes, of which partitions do not each send a whole sample to the driver."""
+    from pyspark.sql import functions as F
+
+    vectors = spark.range(4000).repartition(16).select("id", F.array(F.col("id").cast("double"), F.lit(1.0)).alias("v"))
+    kind, seen = type(vectors), []
+    ordered = kind.orderBy
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(kind, "orderBy", lambda self, *c: (seen.append(self.count()), ordered(self, *c))[1])
+        got = ann.choose_pivots(vectors, 8)
+    want = [tuple(r["v"]) for r in ordered(vectors, F.xxhash64("id"), "id").limit(8).collect()]
+    assert np.allclose(got, ann._unit(np.array(want)))
+    assert seen and max(seen) < 400

@@ -36,7 +36,13 @@ def usable(df: DataFrame, key: str, vector: str) -> DataFrame:
 
 def choose_pivots(vectors: DataFrame, n: int = PIVOTS) -> np.ndarray:
     """At most n of the 4 * n vectors with the smallest hashes of their ids, no two equal, scaled to unit length."""
-    rows = vectors.orderBy(F.xxhash64("id"), "id").select("v").limit(4 * n).collect()
+    # Only vectors under a hash that about 16 * n have go on: else each partition would send its own 4 * n to the driver.
+    h, total = F.xxhash64("id"), vectors.count()
+    drawn = lambda df: df.orderBy(h, "id").select("v").limit(4 * n).collect()
+    most = (16 * n << 64) // max(1, total) - (1 << 63)
+    rows = drawn(vectors.filter(h < F.lit(most))) if most < 1 << 63 else drawn(vectors)
+    if len(rows) < min(4 * n, total):
+        rows = drawn(vectors)
     rows = list(dict.fromkeys(tuple(r["v"]) for r in rows))[:n]
     return _unit(np.array(rows, np.float64)) if rows else np.zeros((0, 0))
 
