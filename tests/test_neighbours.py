@@ -5,6 +5,7 @@ import math
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from vicinage.operators import neighbours, permutation, statistics
@@ -66,6 +67,30 @@ def test_a_crowded_point_is_cut_into_parts(spark, monkeypatch):
     assert got[5] == [0, 1] and got[0] == [1, 2] and got[1] == [0, 2] and got[2999] == [2998, 2997] and len(got) == 3000
 
 
+def test_tiles_meet_the_references_around_them_only(monkeypatch):
+    rng = np.random.default_rng(0)
+    for trial in range(40):
+        n, m, k = int(rng.integers(1, 200)), int(rng.integers(0, 200)), int(rng.integers(1, 30))
+        draw = lambda n: rng.integers(0, 9, n) + 1e6 if trial % 2 else rng.random(n) * 20
+        rx, ry, qx, qy, limit = draw(m), draw(m), draw(n), draw(n), rng.choice([np.inf, 30.0, 4.0, 0.0], n)
+        own = np.where(rng.random(n) < 0.5, rng.integers(0, max(m, 1), n), -1) if m else np.full(n, -1)
+        order = neighbours.tiled(qx, qy)
+        qx, qy, limit, own = qx[order], qy[order], limit[order], own[order]
+        many, column, d2 = neighbours.nearest_of(qx, qy, limit, own, rx, ry, k)
+        at = 0
+        for i in range(n):
+            far = (qx[i] - rx) ** 2 + (qy[i] - ry) ** 2
+            want = [j for j in np.argsort(far, kind="stable").tolist() if far[j] <= limit[i] and j != own[i]][:k]
+            assert column[at : at + many[i]].tolist() == want and d2[at : at + many[i]].tolist() == far[want].tolist()
+            at += many[i]
+    met, plain = [], np.partition
+    monkeypatch.setattr(neighbours.np, "partition", lambda x, *a: met.append(x.size if x.ndim > 1 else 0) or plain(x, *a))
+    x, y = rng.random((2, 2000))
+    order = neighbours.tiled(x, y)
+    neighbours.nearest_of(x[order], y[order], np.full(2000, np.inf), np.full(2000, -1), x, y, 10)
+    assert 0 < sum(met) < 2000 * 2000 / 5  # a query meets under a fifth of the leaf
+
+
 # --- permutations
 
 
