@@ -623,3 +623,23 @@ def test_pivots_come_from_few_rows_of_each_partition(spark):
     want = [tuple(r["v"]) for r in ordered(vectors, F.xxhash64("id"), "id").limit(8).collect()]
     assert np.allclose(got, ann._unit(np.array(want)))
     assert seen and max(seen) < 400
+
+
+def test_neighbours_send_no_copies_of_queries_through_the_driver(spark, capsys):
+    """Blocks meet as a product of written tables; queries repeated for each block were a broadcast at size, as one block looks small."""
+    from pyspark.sql import functions as F
+
+    vectors = spark.range(600).select(F.col("id").alias("vec_id"), F.array(*[F.xxhash64("id", F.lit(i)) / 1e18 for i in range(4)]).alias("embedding"))
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(ann, "BLOCK", 128)
+        patch.setattr(ann, "QUERY_BLOCK", 8)
+        found = ann.search(vectors, vectors.filter("vec_id % 50 = 0"), k=2)
+        got = {(r.query_id, r["rank"]): r.vec_id for r in found.collect()}
+    m = np.array([r.embedding for r in vectors.orderBy("vec_id").collect()])
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    score = unit[::50] @ unit.T
+    score[np.arange(12), np.arange(12) * 50] = -9
+    assert got == {(i * 50, r + 1): j for i, row in enumerate(np.argsort(-score, 1)[:, :2].tolist()) for r, j in enumerate(row)}
+    found.explain()
+    plan = capsys.readouterr().out
+    assert "CartesianProduct" in plan and "Broadcast" not in plan and "Generate" not in plan

@@ -3,6 +3,8 @@
 Pivots are a bounded sample of the vectors. Every vector is represented by its nearest pivots in order and posted, with the
 place of each pivot, in the pivots' inverted files, block of vectors by block. A query reads the files of its own nearest
 pivots; the footrule distance of the two orders ranks what it finds in a block, and the best are ranked again by cosine.
+Blocks of vectors and of queries are written once; their Cartesian product reads them as often as needed and sends nothing through
+a shuffle or the driver.
 
 Cases: vectors that are null, of zero length or norm, or have null or non-finite components take no part; vectors of
 different lengths have no cosine, so each length has an index of its own; equal vectors tie and the smaller id comes first; with fewer candidates
@@ -20,10 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .tables import kept, shuffles_dropped
+
 #: Size of the sample of pivots, pivots in a representation, and pivots whose files a query reads.
 PIVOTS, LENGTH = 256, 48
 #: Vectors and queries of a block, and candidates of each block that are ranked again for a query.
 BLOCK, QUERY_BLOCK, RERANK = 8192, 512, 1280
+#: Tasks at most for a side of the product; blocks of queries that a task takes where there are many; tasks to have where there are few.
+MOST_TASKS, PARTS, FEW_TASKS = 20_000, 32, 64
 
 
 def usable(df: DataFrame, key: str, vector: str) -> DataFrame:
@@ -65,9 +71,10 @@ def permutations(m: np.ndarray, pivots: np.ndarray, length: int) -> np.ndarray:
     return np.argsort(-(_unit(m) @ pivots.T), 1, kind="stable")[:, :length].astype(np.int16)
 
 
-def _blocks(vectors: DataFrame, pivots: np.ndarray, length: int, blocks: int, name: str) -> DataFrame:
-    """Rows of packed blocks: ids, vectors and permutations of the vectors whose id hashes to the block."""
-    width = pivots.shape[1]
+def _blocks(vectors: DataFrame, pivots: np.ndarray, length: int, blocks: int, name: str, tasks: int) -> DataFrame:
+    """Rows of packed blocks, written: ids, vectors and permutations of the vectors whose id hashes to the block. Vectors take four bytes a
+    number where that loses nothing, permutations one a pivot where numbers of pivots fit."""
+    width, kind = pivots.shape[1], _place_type(len(pivots))
 
     def run(batches):
         for batch in batches:
@@ -75,11 +82,27 @@ def _blocks(vectors: DataFrame, pivots: np.ndarray, length: int, blocks: int, na
             ok = np.diff(v.offsets.to_numpy()) == width
             if ok.any():
                 m = v.filter(pa.array(ok)).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
-                perm = permutations(m, pivots, length)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[ok]), pa.array([x.tobytes() for x in m], pa.binary()), pa.array([x.tobytes() for x in perm], pa.binary())], ["id", "v", "perm"])
+                perm = permutations(m, pivots, length).astype(kind)
+                with np.errstate(over="ignore"):
+                    short = m.astype(np.float32)
+                exact = (short == m).all(1)
+                packed = [(short if e else m)[i].tobytes() for i, e in enumerate(exact.tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[ok]), pa.array(packed, pa.binary()), pa.array([x.tobytes() for x in perm], pa.binary())], ["id", "v", "perm"])
+
+    posted = vectors.mapInArrow(run, "id long, v binary, perm binary").withColumn(name, F.pmod(F.xxhash64("id"), F.lit(blocks)))
+    with shuffles_dropped(vectors.sparkSession):
+        return kept(posted.repartition(tasks, name).groupBy(name).agg(F.sort_array(F.collect_list(F.struct("id", "v", "perm"))).alias(f"{name}_rows")))
+
+
+def _place_type(pivots: int) -> type:
+    return np.uint8 if pivots <= 256 else np.int16
+
 
-    posted = vectors.mapInArrow(run, "id long, v binary, perm binary")
-    return posted.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias(name)).agg(F.sort_array(F.collect_list(F.struct("id", "v", "perm"))).alias(f"{name}_rows"))
+def _unpacked(rows: list, width: int) -> np.ndarray:
+    """Vectors of four or eight bytes a number."""
+    if all(len(r) == 4 * width for r in rows):
+        return np.frombuffer(b"".join(rows), np.float32).reshape(-1, width).astype(np.float64)
+    return np.stack([np.frombuffer(r, np.float32 if len(r) == 4 * width else np.float64).astype(np.float64) for r in rows])
 
 
 def inverted_files(perm: np.ndarray, pivots: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -140,14 +163,15 @@ def _search(rows: DataFrame, asked: DataFrame, k: int, pivots: int, length: int,
     length = min(length, len(chosen))
     n, n_asked = rows.count(), asked.count()
     blocks, query_blocks = -(-n // BLOCK), max(1, -(-n_asked // QUERY_BLOCK))
-    base = _blocks(rows, chosen, length, blocks, "block")
-    against = _blocks(asked, chosen, length, query_blocks, "part").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    base = _blocks(rows, chosen, length, blocks, "block", min(blocks, MOST_TASKS))
+    parts = min(query_blocks, max(-(-query_blocks // PARTS), -(-FEW_TASKS // blocks)), MOST_TASKS)
+    against = _blocks(asked, chosen, length, query_blocks, "part", parts)
     width, n_pivots = chosen.shape[1], len(chosen)
 
     def matrices(column):
         rows = column.values.slice(column.offsets[0].as_py(), column.offsets[-1].as_py() - column.offsets[0].as_py())
         part = rows.flatten()
-        return part[0].to_numpy(zero_copy_only=False), np.frombuffer(b"".join(part[1].to_pylist()), np.float64).reshape(-1, width), np.frombuffer(b"".join(part[2].to_pylist()), np.int16).reshape(-1, length)
+        return part[0].to_numpy(zero_copy_only=False), _unpacked(part[1].to_pylist(), width), np.frombuffer(b"".join(part[2].to_pylist()), _place_type(n_pivots)).reshape(-1, length)
 
     def run(batches):
         for batch in batches:
@@ -156,7 +180,9 @@ def _search(rows: DataFrame, asked: DataFrame, k: int, pivots: int, length: int,
                 found = search_block(*mine, *theirs, n_pivots, k, rerank)
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["query_id", "vec_id", "score"])
 
-    found = against.join(base, "block").repartition(F.col("part"), F.col("block")).select("part_rows", "block_rows").mapInArrow(run, schema)
+    # By hint: a join on a made-up key would be taken for as small as the queries, and broadcast with all its copies through the driver.
+    # The product has a task for each pair of partitions, so these are as few as there are blocks.
+    found = base.coalesce(min(blocks, MOST_TASKS)).join(against.coalesce(parts).hint("shuffle_replicate_nl")).select("part_rows", "block_rows").mapInArrow(run, schema)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
